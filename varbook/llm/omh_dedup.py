@@ -14,19 +14,28 @@ from varbook.llm import store
 from varbook.llm.words import ALL, U64, mix, owners, pieces, signed, words
 
 
+BAG = 256
+
+
 def kmers(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of k words (of all its words where it has fewer) and their bounds."""
     lengths = np.diff(bounds)
-    counts = np.where(lengths == 0, 0, np.maximum(lengths - k + 1, 1))
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    doc = np.repeat(np.arange(len(counts)), counts)
-    first = bounds[doc] + np.arange(ends[-1]) - ends[doc]
-    h = np.zeros(len(first), U64)
-    for i in range(k):
-        at = first + i
-        ok = at < bounds[doc + 1]
-        h = mix(h * U64(3) + np.where(ok, hashes[np.minimum(at, len(hashes) - 1)], U64(7))) if len(h) else h
-    return h, ends
+    ends = np.concatenate([[0], np.cumsum(np.where(lengths == 0, 0, np.maximum(lengths - k + 1, 1)))])
+    n = len(hashes)
+    h = np.zeros(n, U64)
+    for i in range(min(k, n)):
+        h[: n - i] = mix(h[: n - i] * U64(3) + hashes[i:])
+    valid = np.ones(n, bool)
+    for i in range(1, k):
+        last = bounds[1:] - i
+        valid[last[last >= bounds[:-1]]] = False
+    short = np.flatnonzero((lengths > 0) & (lengths < k))
+    if len(short):
+        first, x = bounds[:-1][short], np.zeros(len(short), U64)
+        for i in range(k):
+            x = mix(x * U64(3) + np.where(i < lengths[short], hashes[np.minimum(first + i, n - 1)], U64(7)))
+        h[first], valid[first] = x, True
+    return h[valid], ends
 
 
 def occurrences(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -71,13 +80,30 @@ def sketches(hashes: np.ndarray, bounds: np.ndarray, k: int, rounds: int, picked
     return some, out
 
 
+def bags(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of each text's words fall into each of BAG classes, up to 255, and the number of words in 4 bytes."""
+    n = len(bounds) - 1
+    counts = np.bincount(owners(bounds) * BAG + (hashes >> U64(56)).astype(np.int64), minlength=n * BAG).reshape(n, BAG)
+    return np.hstack([np.minimum(counts, 255).astype(np.uint8), np.minimum(np.diff(bounds), (1 << 32) - 1).astype("<u4").view(np.uint8).reshape(n, 4)])
+
+
+def bags_apart(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Where bags prove that texts aren't similar: an edit changes the counts by 2 at most and the length by 1."""
+    n, m = (np.ascontiguousarray(v[:, BAG:]).view("<u4")[:, 0].astype(np.int64) for v in (x, y))
+    most = ((1 - least) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    differ = np.maximum(x[:, :BAG], y[:, :BAG]) - np.minimum(x[:, :BAG], y[:, :BAG])
+    return (np.abs(n - m) > most) | (differ.sum(axis=1, dtype=np.int64) > 2 * most)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, rounds: int, picked: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, end, data, offsets in pieces(batch.column(1)):
-            some, s = sketches(*words(data, offsets), k, rounds, picked)
+            h, bounds = words(data, offsets)
+            some, s = sketches(h, bounds, k, rounds, picked)
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.T.reshape(-1))), pa.array(np.repeat(ids[first:end][some], rounds))], ["bucket", "id"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * rounds), pa.array(signed(s.T.reshape(-1))))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first:end][some]), lists, pa.array([f.tobytes() for f in bags(h, bounds)[some]], pa.binary())], ["id", "buckets", "features"])
 
 
 def banded_distance(x: list, y: list, k: int) -> int:
@@ -163,14 +189,17 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 2, rounds: int = 1
     plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.md5("text").alias("g"))
     same = store.save(plain.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.collect_set("doc_id").alias("all")), "texts")
     copies = same.where("n > 1").select(F.col("id").alias("a"), F.explode("all").alias("b"))
-    buckets = store.save(plain.select("doc_id", "text").mapInArrow(partial(_sketch, k=k, rounds=rounds, picked=picked), "bucket long, id long").join(copies.where("a <> b").select(F.col("b").alias("id")), "id", "left_anti"), "sketches")
+    gone = copies.where("a <> b").select(F.col("b").alias("id"))
+    sketched = store.save(plain.select("doc_id", "text").mapInArrow(partial(_sketch, k=k, rounds=rounds, picked=picked), "id long, buckets array<long>, features binary").join(gone, "id", "left_anti"), "sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        t = plain.select(F.col("doc_id"), "text")
+        pairs = store.save(pairs, "pairs")
+        t = store.marked(plain.select("doc_id", "text"), "doc_id", pairs.select(F.explode(F.array("a", "b")))).where("_mark").select("doc_id", "text")
         p = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return p.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, least=least), "a long, b long").distinct()
 
-    reps = store.linked(buckets.select("bucket", "id").distinct(), verify)
+    buckets = sketched.select(F.explode("buckets").alias("bucket"), "id").distinct()
+    reps = store.linked(buckets, verify, sketched.groupBy("id").agg(F.min("features").alias("features")), partial(bags_apart, least=least))
     near = reps.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = store.components(near.union(copies.where("a <> b")))
     return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("rep_id"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -30,6 +33,28 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MARKS = 1 << 23
+
+
+def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with the column `_mark`: true for each row whose key is in ids (one column), for others only where hashes meet.
+
+    A bitmap of MARKS bits is sent to all executors, 1 MB for any number of
+    ids.  It keeps rows that a join would drop out of its shuffle; with more
+    ids than bits it lets most rows pass, and the join still decides.
+    """
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(MARKS))
+
+    h = bit(ids[ids.columns[0]])
+    bitmap = ids.select(F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    own = bit(F.col(key))
+    at = F.bitmap_bit_position(own).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("true") & (F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1), F.lit(False))
+    return df.withColumn("_own", F.bitmap_bucket_number(own)).join(F.broadcast(bitmap), F.col("_own") == F.col("_bucket"), "left").withColumn("_mark", hit).drop("_own", "_bucket", "_bits")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, rep) of every node of the edges (a, b); rep is the least id of its component.
 
@@ -51,26 +76,75 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("rep")).union(e.select(F.col("v").alias("id"), F.col("v").alias("rep")).distinct())
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _cross(batches: Iterator[pa.RecordBatch], apart: Callable | None) -> Iterator[pa.RecordBatch]:
+    """All pairs of this part's buckets that are in two components, but for those that `apart` tells from their features."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    bucket, ids, rep = (table.column(k).to_numpy() for k in ("bucket", "id", "rep"))
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids, rep = bucket[order], ids[order], rep[order]
+    features = np.array([np.frombuffer(f, np.uint8) for f in table.column("features").to_pylist()])[order] if apart else None
+    at = np.flatnonzero(bucket[1:] == bucket[:-1])
+    step, out, held = 1, [], 0
+    while len(at):
+        a = at[(rep[at] != rep[at + step]) & (ids[at] != ids[at + step])]
+        for i in range(0, len(a), 1 << 16):
+            x = a[i : i + (1 << 16)]
+            y = x + step
+            if apart:
+                ok = ~apart(features[x], features[y])
+                x, y = x[ok], y[ok]
+            out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+            held += len(x)
+        step += 1
+        at = at[at + step < len(bucket)]
+        at = at[bucket[at] == bucket[at + step]]
+        if out and (held > 1 << 20 or not len(at)):
+            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+            out, held = [], 0
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], apart: Callable) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.array([np.frombuffer(f, np.uint8) for f in batch.column(k).to_pylist()]) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(~apart(x, y)))
+
+
+def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], features: DataFrame | None = None, apart: Callable | None = None) -> DataFrame:
     """(id, rep) of the components that verified pairs within buckets (bucket, id) form.
 
     Each bucket's least id is first held against all others there, which settles
     large groups of copies with as many pairs as members.  Then every pair of a
     bucket that is still in two components is verified too, so the components
     are those of all pairs, without a cap on a bucket's size.  verify takes
-    distinct pairs (a, b), a < b, and returns those that match.
+    distinct pairs (a, b), a < b, and returns those that match.  features (id,
+    features) holds bytes, of one length, from which `apart` may prove, for
+    arrays of them, that pairs don't match; these aren't verified.
     """
     pairs = buckets.withColumn("a", F.min("id").over(Window.partitionBy("bucket"))).where("a < id").select("bucket", "a", F.col("id").alias("b"))
     pairs = save(pairs, "stars")
-    good = save(verify(pairs.select("a", "b").distinct()).select("a", "b"), "verified")
+
+    def possible(p: DataFrame) -> DataFrame:
+        if features is None:
+            return p
+        x, y = (features.withColumnsRenamed({"id": k, "features": f"f{k}"}) for k in "ab")
+        return p.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(partial(_near, apart=apart), "a long, b long")
+
+    good = save(verify(possible(pairs.select("a", "b").distinct())).select("a", "b"), "verified")
     reps = components(good)
     placed = (
         pairs.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
         .join(reps, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     )
-    mixed = save(placed.withColumn("k", F.max("rep").over(Window.partitionBy("bucket")) != F.min("rep").over(Window.partitionBy("bucket"))).where("k").drop("k"), "mixed")
-    x, y = (mixed.select("bucket", F.col("id").alias(i), F.col("rep").alias(f"r{i}")) for i in "ab")
-    rest = x.join(y, "bucket").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    by = Window.partitionBy("bucket")
+    mixed = placed.withColumn("k", F.max("rep").over(by) != F.min("rep").over(by)).where("k").drop("k")
+    if features is not None:
+        mixed = mixed.join(features, "id")
+    rest = mixed.repartition("bucket").mapInArrow(partial(_cross, apart=apart), "a long, b long").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
     more = save(verify(rest).select("a", "b"), "verified")
     if more.isEmpty():
         return reps
