@@ -38,7 +38,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, U64)
         have[0] = 1
         have = np.cumprod(have, dtype=U64)
-        if len(have) <= 1 << 23:
+        if len(have) <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
@@ -65,7 +65,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def pieces(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0): whole texts, about size bytes at a time."""
     data, offsets = raw(column)
     n, at = len(offsets) - 1, 0
