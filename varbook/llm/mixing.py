@@ -13,6 +13,7 @@ LEVELS = ("domain", "lang", "source")
 DOMAINS = {"web": range(0, 8), "books": range(8, 14), "forum": range(14, 20)}
 WEIGHTS: dict[tuple, float] = {("web",): 0.5, ("books",): 0.3, ("forum",): 0.2, ("web", "en"): 0.6, ("books", "en"): 0.6, ("forum", "en"): 0.6}
 SLICES = 1 << 10
+BROADCAST_LEAVES = 100_000
 
 
 @dataclass
@@ -122,17 +123,18 @@ def mix_sources(docs: DataFrame, weights: Mapping[tuple, float] | None = None, b
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(k, T.StringType()) for k in leaf] + [T.StructField("_whole", T.IntegerType()), T.StructField("_rest", T.DoubleType())])
     plans = spark.createDataFrame(plan, schema)
-    # one row a leaf: Spark's own threshold decides whether it is broadcast
+    # one row a leaf: broadcast while there are few leaves, shuffled beyond
+    sent = F.broadcast if len(plan) <= BROADCAST_LEAVES else lambda df: df
     place = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("doc_id").cast("string"), F.col("text"))
-    ranked = keyed.join(plans, leaf).withColumn("_h", place).withColumn("_slice", F.shiftrightunsigned("_h", 64 - SLICES.bit_length() + 1))
+    ranked = keyed.join(sent(plans), leaf).withColumn("_h", place).withColumn("_slice", F.shiftrightunsigned("_h", 64 - SLICES.bit_length() + 1))
     slices = ranked.groupBy(*leaf, "_slice").agg(F.sum("_n").alias("s"), F.first("_rest").alias("r"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy(leaf).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = slices.withColumn("b", before).where((F.col("b") <= F.col("r")) & (F.col("b") + F.col("s") > F.col("r"))).groupBy(leaf).agg(F.min("_slice").alias("_edge"), F.min_by("b", "_slice").alias("_before"))
-    ranked = ranked.join(edge, leaf, "left")
+    ranked = ranked.join(sent(edge), leaf, "left")
     inner = ranked.where(F.col("_slice") == F.col("_edge")).select(*leaf, "_h", "_n", "_rest", "_before")
     running = F.col("_before") + F.sum("_n").over(Window.partitionBy(leaf).orderBy("_h").rangeBetween(Window.unboundedPreceding, 0))
     last = inner.withColumn("t", running).groupBy(leaf).agg(F.coalesce(F.max(F.when(F.col("t") <= F.col("_rest"), F.struct(F.lit(1), "_h"))), F.min(F.struct(F.lit(0), "_h"))).alias("_last"))
-    ranked = ranked.join(last, leaf, "left")
+    ranked = ranked.join(sent(last), leaf, "left")
     inside = (F.col("_rest") > 0) & (
         F.col("_edge").isNull() | (F.col("_slice") < F.col("_edge"))
         | ((F.col("_slice") == F.col("_edge")) & (F.col("_last.col1") == 1) & (F.col("_h") <= F.col("_last._h")))
