@@ -120,6 +120,8 @@ def extract_pages(pages: DataFrame, max_labelled: int = 400) -> DataFrame:
     of 0; repeated rows each have a result.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    mark = own.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(max_labelled)
-    weights = fit([r.html for r in mark.collect()])
+    # only hashes are ordered; texts of no more than max_labelled pages are fetched
+    mark = own.where(F.col("html").rlike("(?i)<(article|main)[ >]")).withColumn("h", F.xxhash64("page_id", "url"))
+    top = mark.select("h").orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
+    weights = fit([r.html for r in mark.where(F.col("h") <= top).select("html").limit(2 * max_labelled).collect()] if top is not None else [])
     return own.mapInArrow(partial(_extract, weights=weights), "page_id long, url string, text string, n_words long, score double")
