@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varbook.llm import store
+
 LEVELS = ("domain", "lang", "source")
 DOMAINS = {"web": range(0, 8), "books": range(8, 14), "forum": range(14, 20)}
 WEIGHTS: dict[tuple, float] = {("web",): 0.5, ("books",): 0.3, ("forum",): 0.2, ("web", "en"): 0.6, ("books", "en"): 0.6, ("forum", "en"): 0.6}
@@ -27,7 +29,7 @@ class Node:
 
 def domain_of(source: Column) -> Column:
     """The default domain: by the number at the source's end, `other` without one that is listed."""
-    n = F.regexp_extract(source, r"(\d+)$", 1).cast("int")
+    n = F.regexp_extract(source, r"(\d+)$", 1).try_cast("int")
     out = F.lit("other")
     for name, r in DOMAINS.items():
         out = F.when(n.between(r.start, r.stop - 1), F.lit(name)).otherwise(out)
@@ -101,7 +103,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[tuple, float] | None = None, b
     many as docs has.  A leaf is used for at most `epochs` epochs: each whole
     epoch has all its rows once; the last is the longest prefix, in that epoch's
     order by seeded hash, whose words fit the rest of its budget.  Rows of equal
-    doc_id and text have neighbouring places.
+    doc_id and text have one place.  domain may refer to doc_id, text, lang and
+    source.
 
     docs needs doc_id, text, lang and source; null lang or source counts as
     "unknown", a null text has no words, and rows without words go with the
@@ -111,7 +114,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[tuple, float] | None = None, b
     The words of each leaf and of each of its slices of the hash's range are
     summed; only rows of the slice in which a leaf's prefix ends are ordered.
     """
-    base = docs.drop("epoch")
+    needed = ("doc_id", "text", "lang", "source")
+    base = store.aside(docs, needed)
     source, lang = (F.coalesce(F.col(k), F.lit("unknown")) for k in ("source", "lang"))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x20]+")), F.lit(0)).cast("long")
     keyed = base.select("*", F.coalesce(domain_of(source) if domain is None else domain, F.lit("unknown")).alias("_domain"), lang.alias("_lang"), source.alias("_source"), words.alias("_n"))
@@ -140,4 +144,5 @@ def mix_sources(docs: DataFrame, weights: Mapping[tuple, float] | None = None, b
         | ((F.col("_slice") == F.col("_edge")) & (F.col("_last.col1") == 1) & (F.col("_h") <= F.col("_last._h")))
     )
     times = F.col("_whole") + F.when(inside, F.lit(1)).otherwise(F.lit(0))
-    return ranked.where(times > 0).select(*base.columns, F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
+    chosen = ranked.where(times > 0).select(*base.columns, F.explode(F.sequence(F.lit(0), times - 1)).alias("epoch"))
+    return store.restored(chosen, docs.columns, needed, "epoch")

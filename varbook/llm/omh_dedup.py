@@ -211,4 +211,5 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     Rows that match nothing stay, those with a null doc_id or text too.
     """
     gone = near_groups(docs, **parameters).where("doc_id <> rep_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = store.aside(docs, ("doc_id",)).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return store.restored(kept, docs.columns, ("doc_id",))

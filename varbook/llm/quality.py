@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, lexicon_si
     y = labels.where("doc_id is not null and quality is not null and toxic is not null")
     y = y.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("_bad"), F.max(F.col("toxic") == 1).alias("_toxic"))
     y = y.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(max_labelled)
-    sample = store.save(docs.where("text is not null").join(F.broadcast(y), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_bad", "_toxic", "text", (F.col("_h") % 2 == 0).alias("_a")), "labelled")
+    sample = store.save(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(y), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_bad", "_toxic", "text", (F.col("_h") % 2 == 0).alias("_a")), "labelled")
     first = sample.where("_a")
     n_toxic, n_clean = (int(v or 0) for v in first.agg(F.sum(F.col("_toxic").cast("int")), F.sum((~F.col("_toxic")).cast("int"))).first())
     lexicon: list[str] = []
@@ -168,8 +168,9 @@ def score_column(model: Model, prefix: str = "_f_") -> Column:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the column `score`, in place of one it has; all rows stay, a null text counts as empty."""
-    base = docs.drop("score")
-    return with_statistics(base, model.lexicon).select(*base.columns, score_column(model).alias("score"))
+    own = store.aside(docs, ("text",))
+    scored = with_statistics(own, model.lexicon).select(*own.columns, score_column(model).alias("score"))
+    return store.restored(scored, docs.columns, ("text",), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **parameters) -> DataFrame:

@@ -33,6 +33,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """docs with all columns but the needed ones in one struct, so that their names can't clash with ours."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*(c for c in needed if c in docs.columns), (F.struct(*rest) if rest else F.lit(0)).alias("__aside"))
+
+
+def restored(df: DataFrame, columns: list[str], needed: tuple[str, ...], *added: str) -> DataFrame:
+    """The given columns of docs in their order, then the added ones, which replace columns of their name."""
+    return df.select(*(F.col(c) if c in needed else F.col("__aside").getField(c).alias(c) for c in columns if c not in added), *added)
+
+
 MARKS = 1 << 23
 
 
@@ -78,9 +89,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _cross(batches: Iterator[pa.RecordBatch], apart: Callable | None) -> Iterator[pa.RecordBatch]:
     """All pairs of this part's buckets that are in two components, but for those that `apart` tells from their features."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
         return
+    table = pa.Table.from_batches(parts)
     bucket, ids, rep = (table.column(k).to_numpy() for k in ("bucket", "id", "rep"))
     order = np.argsort(bucket, kind="stable")
     bucket, ids, rep = bucket[order], ids[order], rep[order]
