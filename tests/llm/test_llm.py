@@ -195,6 +195,15 @@ def test_lines_against_all_pairs(spark):
     assert all(left[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want) for d, t in rows)
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    from varbook.llm import queries
+
+    docs = spark.createDataFrame([(1, "home\nread more\n\nall rights reserved\none two one two one"), (2, "all rights reserved\nHome\nother words here\n\nread more\none two one two one")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = {x.doc_id: x.text for x in queries.queries()["op7_lines"](spark, str(tmp_path)).collect()}
+    assert left == {1: docs.where("doc_id = 1").first().text, 2: "other words here\n"}
+
+
 def test_compact_windows_against_the_tree():
     h = np.random.default_rng(7).integers(0, 1 << 60, 80).astype(np.uint64)
 
