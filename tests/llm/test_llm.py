@@ -204,6 +204,37 @@ def test_short_lines_take_part(spark, tmp_path):
     assert left == {1: docs.where("doc_id = 1").first().text, 2: "other words here\n"}
 
 
+@pytest.mark.parametrize("often", [192, 1])
+def test_lines_by_words_against_all_pairs(spark, tmp_path, monkeypatch, often):
+    from varbook.llm import queries
+
+    monkeypatch.setattr(line_dedup, "OFTEN", often)
+    r, rows = random.Random(16), []
+    pool = [words(r.randrange(1, 40), 3000 + i) for i in range(40)]
+    pool += [[f"c{r.randrange(20)}" for _ in range(r.randrange(1, 14))] for _ in range(20)]
+    for d in range(60):
+        own = []
+        for _ in range(6):
+            w = list(r.choice(pool))
+            for _ in range(r.randrange(3)):
+                w[r.randrange(len(w))] = f"z{r.randrange(9)}"
+            if r.random() < 0.3:
+                r.shuffle(w)
+            own.append(" ".join(w))
+        rows.append((d, "\n".join(own)))
+    seen, want = [], {}
+    for d, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            g = set(line.split())
+            if not any(len(g & h) >= 0.8 * len(g | h) - 1e-9 for h in seen):
+                kept.append(line)
+            seen.append(g)
+        want[d] = "\n".join(kept)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.text for x in queries.queries()["op7_lines"](spark, str(tmp_path)).collect()} == want
+
+
 def test_compact_windows_against_the_tree():
     h = np.random.default_rng(7).integers(0, 1 << 60, 80).astype(np.uint64)
 

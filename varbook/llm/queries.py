@@ -21,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html": lambda s, d: html.extract_pages(_read(s, d, "pages")),
         "op5_mixing": lambda s, d: mixing.mix_sources(_read(s, d, "documents")).select("doc_id", "lang", "source", "epoch"),
         "op6_embeddings": lambda s, d: embed_dedup.near_embeddings(_read(s, d, "embeddings")),
-        "op7_lines": lambda s, d: line_dedup.without_repeats(_read(s, d, "documents"), least=1),
+        "op7_lines": lambda s, d: line_dedup.without_repeats(_read(s, d, "documents"), least=1, q=1),
         "op8_passages": lambda s, d: substring_dedup.repeats(_read(s, d, "documents")),
         "op9_urls": lambda s, d: url_filter.filter_urls(_read(s, d, "pages"), url_filter.default_rules(s)),
         "op10_near": lambda s, d: omh_dedup.near_groups(_read(s, d, "documents")),
