@@ -257,6 +257,14 @@ def test_passages(spark):
     assert set(got) == {*range(1, 30), 40} and got[7].start_word == 110 and got[7].end_word == 165
 
 
+def test_passages_behind_a_fragment(spark):
+    p = words(50, 400)
+    rows = [(i, f"{text(30, 410 + i)} {' '.join(p[i % 20 : i % 20 + 30])} {text(30, 450 + i)}") for i in range(30)]
+    rows += [(100 + i, f"{text(40, 500 + i)} {' '.join(p)} {text(40, 520 + i)}") for i in range(3)]
+    got = {(r.doc_id, r.match_id) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, _ in got} == {101, 102} and (101, 100) in got
+
+
 def test_near_groups_against_all_pairs(spark):
     r, rows = random.Random(8), []
     for i in range(25):
