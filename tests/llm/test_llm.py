@@ -308,6 +308,14 @@ def test_urls(spark):
     assert got == dict(enumerate(["block", "allow", "block", "allow", "allow", "allow", "allow", "allow", "block"]))
 
 
+def test_deep_url_rules(spark):
+    rules = spark.createDataFrame([("a.org/1/2/3/4/5/", "block"), ("c.d.e.f.g.h.org/", "block")], "expression string, action string")
+    urls = ["http://a.org/1/2/3/4/5/6/7/x", "http://a.org/1/2/3/4/x", "http://a.b.c.d.e.f.g.h.org/x/y", "http://d.e.f.g.h.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.page_id: r.action for r in url_filter.filter_urls(pages, rules).collect()} == {0: "block", 1: "allow", 2: "block", 3: "allow"}
+    assert {r.action for r in url_filter.filter_urls(pages, rules.where("false")).collect()} == {"allow"}
+
+
 def test_marked(spark):
     df = store.marked(spark.range(5000).withColumnRenamed("id", "k"), "k", spark.range(0, 5000, 7))
     got = {r.k for r in df.where("_mark").collect()}

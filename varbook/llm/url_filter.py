@@ -13,14 +13,14 @@ RULES = [
 BROADCAST_ROWS = 200_000
 
 
-def expressions(url: Column) -> Column:
+def expressions(url: Column, most_labels: int, most_folders: int) -> Column:
     """Array of the host/path expressions of a URL, most specific first.
 
     Scheme, user, port and fragment are dropped, the host is in lower case
-    without dots at its ends.  Hosts: the host itself and the up to four longest
-    of its suffixes that start after one of the last five labels' dots and have
-    two labels or more; an IPv4 address has only itself.  Paths: with the query,
-    without it, then up to four directories, longest first, down to "/".
+    without dots at its ends.  Hosts: the host itself and its suffixes of two to
+    most_labels labels, longest first; an IPv4 address has only itself.  Paths:
+    with the query, without it, then the directories of up to most_folders
+    slashes, longest first, down to "/".
     """
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://|^//", "")
     authority = F.regexp_extract(rest, r"^([^/?]*)", 1)
@@ -31,12 +31,12 @@ def expressions(url: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     cut = F.when(host.rlike(r"^\d+(\.\d+){3}$") | (n < 2), F.array().cast("array<string>")).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), n - 2), lambda i: (i > 0) & (i >= n - 5)), lambda i: F.array_join(F.slice(labels, i + 1, n), "."))
+        F.transform(F.filter(F.sequence(F.lit(0), n - 2), lambda i: (i > 0) & (i >= n - most_labels)), lambda i: F.array_join(F.slice(labels, i + 1, n), "."))
     )
-    hosts = F.concat(F.array(host), F.slice(cut, 1, 4))
+    hosts = F.concat(F.array(host), cut)
     parts = F.split(path, "/")
     m = F.size(parts)
-    folders = F.reverse(F.transform(F.sequence(F.lit(1), F.least(m - 1, F.lit(4))), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
+    folders = F.reverse(F.transform(F.sequence(F.lit(1), F.least(m - 1, F.lit(most_folders))), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
     paths = F.array_distinct(F.concat(F.array(tail, path), folders))
     return F.when(url.isNull() | (host == ""), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
 
@@ -54,14 +54,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, prefix: int = 8) -> DataFram
     expression's rules, allow before block.  No rule, a null or empty URL, or a
     URL without a host: allow.  Rules with a null field are ignored, repeated
     ones count once.  Pages with the same page_id and url count as one row;
-    other columns are ignored.  Rules are broadcast up to BROADCAST_ROWS,
+    other columns are ignored.  Hosts and paths are cut down as deep as the
+    deepest rule.  Rules are broadcast up to BROADCAST_ROWS,
     shuffled beyond.
     """
     r = rules.where("expression is not null and action in ('allow', 'block')").groupBy("expression").agg(F.min("action").alias("action"))
     r = r.select(F.col("expression").alias("rule"), "action", F.sha2("expression", 256).alias("rule_digest")).withColumn("short", F.substring("rule_digest", 1, prefix))
     if r.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         r = F.broadcast(r)
-    own = pages.select("page_id", "url", F.posexplode_outer(expressions(F.col("url"))).alias("rank", "expression"))
+    deepest = r.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))), F.max(F.size(F.split("rule", "/")) - 1)).first()
+    own = pages.select("page_id", "url", F.posexplode_outer(expressions(F.col("url"), *(max(1, x or 1) for x in deepest))).alias("rank", "expression"))
     own = own.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, prefix)).drop("expression")
     held = own.join(r, "short", "left").withColumn("ok", F.coalesce(F.col("digest") == F.col("rule_digest"), F.lit(False)))
     return held.groupBy("page_id", "url").agg(F.min(F.when(F.col("ok"), F.struct("rank", "action", "rule"))).alias("x")).select(
