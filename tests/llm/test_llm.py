@@ -190,8 +190,8 @@ def test_lines_against_all_pairs(spark):
                     want.add((d, i))
                 seen.append(g)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs).collect()} == want
-    left = {x.doc_id: x.text for x in line_dedup.without_repeats(docs).collect()}
+    assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs, least=3, q=2).collect()} == want
+    left = {x.doc_id: x.text for x in line_dedup.without_repeats(docs, least=3, q=2).collect()}
     assert all(left[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want) for d, t in rows)
 
 
@@ -204,11 +204,12 @@ def test_short_lines_take_part(spark, tmp_path):
     assert left == {1: docs.where("doc_id = 1").first().text, 2: "other words here\n"}
 
 
-@pytest.mark.parametrize("often", [192, 1])
-def test_lines_by_words_against_all_pairs(spark, tmp_path, monkeypatch, often):
+@pytest.mark.parametrize(("often", "hot", "best"), [(192, 1 << 20, 4), (1, 1 << 20, 1), (1, 2, 1)])
+def test_lines_by_words_against_all_pairs(spark, tmp_path, monkeypatch, often, hot, best):
     from varbook.llm import queries
 
-    monkeypatch.setattr(line_dedup, "OFTEN", often)
+    for name, value in (("OFTEN", often), ("HOT", hot), ("BEST", best)):
+        monkeypatch.setattr(line_dedup, name, value)
     r, rows = random.Random(16), []
     pool = [words(r.randrange(1, 40), 3000 + i) for i in range(40)]
     pool += [[f"c{r.randrange(20)}" for _ in range(r.randrange(1, 14))] for _ in range(20)]

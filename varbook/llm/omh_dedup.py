@@ -15,6 +15,7 @@ from varbook.llm.words import ALL, U64, mix, owners, pieces, signed, words
 
 
 BAG = 256
+SHORT = 16
 
 
 def kmers(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +102,22 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, rounds: int, picked: int)
         for first, end, data, offsets in pieces(batch.column(1)):
             h, bounds = words(data, offsets)
             some, s = sketches(h, bounds, k, rounds, picked)
-            if len(some):
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * rounds), pa.array(signed(s.T.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first:end][some]), lists, pa.array([f.tobytes() for f in bags(h, bounds)[some]], pa.binary())], ["id", "buckets", "features"])
+            if not len(some):
+                continue
+            sizes = np.full(len(some), rounds)
+            short = np.flatnonzero(np.diff(bounds)[some] < SHORT) if k > 1 else some[:0]
+            if len(short):  # a changed word leaves a short text few runs of words, so single words are picked too
+                own = np.zeros(len(bounds), np.int64)
+                own[1:] = np.cumsum(np.where(np.isin(np.arange(len(bounds) - 1), some[short]), np.diff(bounds), 0))
+                _, more = sketches(h[np.isin(owners(bounds), some[short])], own, 1, rounds, picked)
+                sizes[short] *= 2
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flat = np.empty(ends[-1], U64)
+            flat[ends[:-1][:, None] + np.arange(rounds)] = s.T
+            if len(short):
+                flat[ends[:-1][short][:, None] + rounds + np.arange(rounds)] = mix(more.T ^ U64(SHORT))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(flat)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first:end][some]), lists, pa.array([f.tobytes() for f in bags(h, bounds)[some]], pa.binary())], ["id", "buckets", "features"])
 
 
 def banded_distance(x: list, y: list, k: int) -> int:
@@ -159,10 +173,20 @@ def similar(x: np.ndarray, y: np.ndarray, least: float) -> float:
         differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
         tail = int(differ[0]) if len(differ) else n
         x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if max(len(x), len(y)) - shared(x, y) > k:  # an edit changes one word of either text
+        return -1.0
     d = banded_distance(x.tolist(), y.tolist(), k)
     return 1 - d / longer if d <= k else -1.0
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Words that two texts have in common, each as often as in both."""
+    u, n = np.unique(x, return_counts=True)
+    v, m = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = []
@@ -176,6 +200,38 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
 
 
+def text_groups(docs: DataFrame, least: float, k: int, rounds: int, picked: int) -> DataFrame:
+    """(h, g, id, first_id, first_h): each distinct text, by two hashes of it, its least doc_id, and the first text, by (doc_id, hash), of its group."""
+    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    texts = store.save(plain.groupBy("h", F.md5("text").alias("g")).agg(F.min("doc_id").alias("id")), "texts")
+    # copies go by before their text is looked at: only the row with a text's least doc_id is sketched
+    first = texts.select(F.col("h").alias("_h"), F.col("id").alias("_id"))
+    sketched = plain.select("h", "text", "doc_id").mapInArrow(partial(_with_id, k=k, rounds=rounds, picked=picked), "id long, buckets array<long>, features binary, doc_id long")
+    sketched = store.save(sketched.join(first, (F.col("id") == F.col("_h")) & (F.col("doc_id") == F.col("_id")), "left_semi").drop("doc_id").dropDuplicates(["id"]), "sketches")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = store.save(pairs.distinct(), "pairs")
+        needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h").select(F.col("h").alias("_h"), F.col("id").alias("_id"))
+        t = store.marked(plain, "doc_id", needed.select("_id")).where("_mark").join(needed, (F.col("h") == F.col("_h")) & (F.col("doc_id") == F.col("_id"))).select("h", "text")
+        p = pairs.join(t.select(F.col("h").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("h").alias("b"), F.col("text").alias("text_b")), "b")
+        return p.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, least=least), "a long, b long").distinct()
+
+    buckets = sketched.select(F.explode("buckets").alias("bucket"), "id").distinct()
+    reps = store.linked(buckets, verify, sketched.select("id", "features"), partial(bags_apart, least=least))
+    member = texts.join(reps.select(F.col("id").alias("h"), "rep"), "h", "left").withColumn("rep", F.coalesce("rep", "h"))
+    heads = member.groupBy("rep").agg(F.min(F.struct("id", "h")).alias("first"))
+    return member.join(heads, "rep").select("h", "g", "id", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
+
+
+def _with_id(batches: Iterator[pa.RecordBatch], k: int, rounds: int, picked: int) -> Iterator[pa.RecordBatch]:
+    """Sketches of the texts of (h, text, doc_id), with both ids."""
+    for batch in batches:
+        place = pa.array(np.arange(batch.num_rows))
+        for out in _sketch(iter([pa.RecordBatch.from_arrays([place, batch.column(1)], ["id", "text"])]), k, rounds, picked):
+            at = out.column(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), out.column(1), out.column(2), batch.column(2).take(at)], ["id", "buckets", "features", "doc_id"])
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, k: int = 2, rounds: int = 16, picked: int = 2) -> DataFrame:
     """(doc_id, rep_id) of all documents that have a near copy; rep_id is the group's least doc_id.
 
@@ -186,30 +242,26 @@ def near_groups(docs: DataFrame, least: float = 0.8, k: int = 2, rounds: int = 1
     that repeat a doc_id are one document, which matches by any of its texts; an
     empty table gives no rows.
     """
-    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.md5("text").alias("g"))
-    same = store.save(plain.groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.collect_set("doc_id").alias("all")), "texts")
-    copies = same.where("n > 1").select(F.col("id").alias("a"), F.explode("all").alias("b"))
-    gone = copies.where("a <> b").select(F.col("b").alias("id"))
-    sketched = store.save(plain.select("doc_id", "text").mapInArrow(partial(_sketch, k=k, rounds=rounds, picked=picked), "id long, buckets array<long>, features binary").join(gone, "id", "left_anti"), "sketches")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = store.save(pairs, "pairs")
-        t = store.marked(plain.select("doc_id", "text"), "doc_id", pairs.select(F.explode(F.array("a", "b")))).where("_mark").select("doc_id", "text")
-        p = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return p.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, least=least), "a long, b long").distinct()
-
-    buckets = sketched.select(F.explode("buckets").alias("bucket"), "id").distinct()
-    reps = store.linked(buckets, verify, sketched.groupBy("id").agg(F.min("features").alias("features")), partial(bags_apart, least=least))
-    near = reps.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = store.components(near.union(copies.where("a <> b")))
+    groups = store.save(text_groups(docs, least, k, rounds, picked), "text-groups")
+    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.md5("text").alias("g"))
+    edges = plain.join(groups.select("h", "g", "first_id"), ["h", "g"]).where("doc_id <> first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
+    found = store.components(edges)
     return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("rep_id"))
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without those documents of near_groups() that are not their group's first, all columns kept.
+    """docs with one text of each group of near copies, all columns kept: the one with the least doc_id.
 
-    Rows that match nothing stay, those with a null doc_id or text too.
+    A row goes if its text stands under a lesser doc_id too, or if the first
+    text of its text's group is another one.  Rows that repeat both doc_id and
+    text stay or go together; a doc_id with several texts keeps those that are
+    first.  Rows that match nothing stay, those with a null doc_id or text too;
+    an empty table gives no rows.
     """
-    gone = near_groups(docs, **parameters).where("doc_id <> rep_id").select(F.col("doc_id").alias("_gone"))
-    kept = store.aside(docs, ("doc_id",)).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return store.restored(kept, docs.columns, ("doc_id",))
+    groups = store.save(text_groups(docs, **({"least": 0.8, "k": 2, "rounds": 16, "picked": 2} | parameters)), "text-groups")
+    # of most texts there is one row, which stays: only the others are looked up
+    own = store.aside(docs, ("doc_id", "text"))
+    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.md5("text").alias("_g"))
+    gone = plain.join(groups.withColumnsRenamed({"h": "_h", "g": "_g"}), ["_h", "_g"]).where("_id <> id or _h <> first_h").select("_id", "_h").distinct()
+    kept = own.join(store.save(gone, "gone"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    return store.restored(kept, docs.columns, ("doc_id", "text"))

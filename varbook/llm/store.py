@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,17 +10,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine's if all of Spark runs in one
+    process here, as in tests; on a cluster it is an error, as executors
+    wouldn't see each other's files.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="varbook-")
@@ -30,7 +38,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lost executors lose nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    saved = df.sparkSession.read.schema(df.schema).parquet(path)
+    saved._saved_at = path
+    return saved
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables of save() that nothing reads any more."""
+    for df in saved:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def aside(docs: DataFrame, needed: tuple[str, ...]) -> DataFrame:
@@ -74,12 +92,13 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends, loops and repeated edges are ignored; no edges give no rows.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    mark, by_u = None, Window.partitionBy("u")
+    mark, old = None, []
     while True:
-        both = e.union(e.select("v", "u"))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(by_u))
+        large = with_least(e.union(e.select("v", "u")), "u", "v").withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_least(large, "u", "v")
         e = save(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct(), "components")
+        discard(*old)
+        old = [e]
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -87,20 +106,31 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("rep")).union(e.select(F.col("v").alias("id"), F.col("v").alias("rep")).distinct())
 
 
+def with_least(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df with the column m, the least value of its key: summed up before the shuffle, so a hot key is joined in parts and never ordered as one group."""
+    return df.join(df.groupBy(F.col(key).alias("_k")).agg(F.min(value).alias("m")), F.col(key) == F.col("_k")).drop("_k")
+
+
+CROSS = 4096
+
+
 def _cross(batches: Iterator[pa.RecordBatch], apart: Callable | None) -> Iterator[pa.RecordBatch]:
-    """All pairs of this part's buckets that are in two components, but for those that `apart` tells from their features."""
+    """All pairs of this part's buckets that are in two components, but for those that `apart` tells from their features.
+
+    Of a bucket cut into blocks a part holds two blocks; its pairs are those of one block and the other.
+    """
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     table = pa.Table.from_batches(parts)
-    bucket, ids, rep = (table.column(k).to_numpy() for k in ("bucket", "id", "rep"))
+    bucket, ids, rep, block, mixed = (table.column(k).to_numpy(zero_copy_only=False) for k in ("bucket", "id", "rep", "block", "two"))
     order = np.argsort(bucket, kind="stable")
-    bucket, ids, rep = bucket[order], ids[order], rep[order]
+    bucket, ids, rep, block, mixed = bucket[order], ids[order], rep[order], block[order], mixed[order]
     features = np.array([np.frombuffer(f, np.uint8) for f in table.column("features").to_pylist()])[order] if apart else None
     at = np.flatnonzero(bucket[1:] == bucket[:-1])
     step, out, held = 1, [], 0
     while len(at):
-        a = at[(rep[at] != rep[at + step]) & (ids[at] != ids[at + step])]
+        a = at[(rep[at] != rep[at + step]) & (ids[at] != ids[at + step]) & ~(mixed[at] & (block[at] == block[at + step]))]
         for i in range(0, len(a), 1 << 16):
             x = a[i : i + (1 << 16)]
             y = x + step
@@ -137,7 +167,7 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], feature
     features) holds bytes, of one length, from which `apart` may prove, for
     arrays of them, that pairs don't match; these aren't verified.
     """
-    pairs = buckets.withColumn("a", F.min("id").over(Window.partitionBy("bucket"))).where("a < id").select("bucket", "a", F.col("id").alias("b"))
+    pairs = with_least(buckets, "bucket", "id").where("m < id").select("bucket", F.col("m").alias("a"), F.col("id").alias("b"))
     pairs = save(pairs, "stars")
 
     def possible(p: DataFrame) -> DataFrame:
@@ -152,11 +182,15 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], feature
         pairs.select("bucket", F.explode(F.array("a", "b")).alias("id")).distinct()
         .join(reps, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     )
-    by = Window.partitionBy("bucket")
-    mixed = placed.withColumn("k", F.max("rep").over(by) != F.min("rep").over(by)).where("k").drop("k")
+    several = placed.groupBy(F.col("bucket").alias("_b")).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("_b", F.ceil(F.col("n") / CROSS).cast("int").alias("blocks"))
+    mixed = placed.join(several, F.col("bucket") == F.col("_b")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     if features is not None:
         mixed = mixed.join(features, "id")
-    rest = mixed.repartition("bucket").mapInArrow(partial(_cross, apart=apart), "a long, b long").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    # a large bucket's blocks meet two by two, each two in a task of their own
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = mixed.withColumn("bucket", F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))).withColumn("two", F.col("block") != F.col("other"))
+    columns = ["bucket", "id", "rep", "block", "two"] + (["features"] if features is not None else [])
+    rest = mixed.select(*columns).repartition("bucket").mapInArrow(partial(_cross, apart=apart), "a long, b long").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
     more = save(verify(rest).select("a", "b"), "verified")
     if more.isEmpty():
         return reps
