@@ -32,7 +32,7 @@ def labels(spark):
 
 
 def test_odd_rows(spark, odd, labels):
-    assert {(r.doc_id, r.match_id) for r in fingerprint.matches(odd).collect() if r.match_id} == {(9, 1)}
+    assert {(r.doc_id, r.class_id, r.links) for r in fingerprint.matches(odd).collect() if r.links} == {(9, 1, 1), (1, 1, 1)}
     packed = packing.pack(odd).toPandas()
     n = sum(len((r.text or "").split()) for r in odd.collect())
     assert packed.n_tokens.sum() == n and packed.groupby("pack_id").n_tokens.sum().max() <= 2048
@@ -65,23 +65,32 @@ def lcs(x, y):
     return p[-1]
 
 
-def test_fingerprints_against_all_pairs(spark):
+@pytest.mark.parametrize("hot", [8192, 64])
+def test_fingerprints_against_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprint, "HOT", hot)
+    monkeypatch.setattr(fingerprint, "SAMPLED", 1)
     base = [text(300, i) for i in range(12)]
     texts = base + [b.replace(" w1", " v1") if i % 2 else b + " tail end" for i, b in enumerate(base)]
+    texts += [base[3].replace(" w2", f" x{i}") for i in range(90)] + ["same small"] * 2 + ["a" * 5000] * 3 + [""] * 2
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     prints = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
-    want = {}
+    want, edges = Counter(), []
     for i in prints:
         for j in range(i):
             best, p, q = 0, prints[i], prints[j]
+            if (p.block, p.one, p.two) == (q.block, q.one, q.two) and p.one:
+                best = 100
             for s, b in ((p.one, p.block), (p.two, p.block * 2)):
                 for t, c in ((q.one, q.block), (q.two, q.block * 2)):
-                    if b == c and any(s[k : k + 7] in t for k in range(len(s) - 6)):
+                    if best < 60 and b == c and any(s[k : k + 7] in t for k in range(len(s) - 6)):
                         best = max(best, 200 * lcs(s, t) // (len(s) + len(t)))
             if best >= 60:
-                want[i, j] = best
-    got = {(r.doc_id, r.match_id): r.score for r in fingerprint.matches(docs).collect() if r.match_id is not None}
-    assert set(want) == set(got) and len(got) >= 6
+                want[i] += 1
+                want[j] += 1
+                edges.append((j, i))
+    rep = {x.id: x.rep for x in store.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.doc_id: (r.links, r.class_id) for r in fingerprint.matches(docs).collect()}
+    assert got == {i: (want[i], rep.get(i, i)) for i in prints} and len(rep) > 40
 
 
 def test_rolling_hash_depends_on_seven_bytes():

@@ -7,14 +7,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varbook.llm import store
-from varbook.llm.words import _BYTES, U64, pieces, run_hashes
+from varbook.llm.words import _BYTES, U64, mix, pieces, run_hashes, signed
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LENGTH, LEAST_BLOCK, WINDOW = 64, 3, 7
+GRAM = 4
+HOT, SAMPLED, MOST_HOT = 8192, 64, 10_000
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -65,13 +67,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(block, pa.int64()), pa.array([x.decode() for x in one]), pa.array([x.decode() for x in two])], ["doc_id", "block", "one", "two"])
 
 
-def common(a: list[str], b: list[str]) -> np.ndarray:
-    """Length of the longest common subsequence of each pair of signatures of up to 64 characters, 64 bits at a time."""
-    def codes(x: list[str], pad: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(s.encode().ljust(LENGTH, pad) for s in x), np.uint8).reshape(-1, LENGTH)
+def codes(texts: list[bytes], pad: int) -> np.ndarray:
+    return np.frombuffer(b"".join(s.ljust(LENGTH, bytes([pad])) for s in texts), np.uint8).reshape(-1, LENGTH)
 
-    u, w = codes(a, b"\0"), codes(b, b"\1")
-    v = np.full(len(a), (1 << 64) - 1, U64)
+
+def common(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of signatures, rows of u and w that are padded differently, 64 bits at a time."""
+    v = np.full(len(u), (1 << 64) - 1, U64)
     for j in range(LENGTH):
         hit = np.packbits(u == w[:, j : j + 1], axis=1, bitorder="little").view(U64)[:, 0]
         both = v & hit
@@ -79,42 +81,155 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
     return LENGTH - np.bitwise_count(v).astype(np.int64)
 
 
-def score(a: list[str], b: list[str]) -> np.ndarray:
-    """0 to 100: 100 less the share of characters to insert or delete, in percent."""
-    total = np.maximum(1, np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)]))
-    return 200 * common(a, b) // total
+def grams(data: np.ndarray, offsets: np.ndarray, size: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, hash) of the winnowed grams of signatures of the given block sizes.
+
+    Of any run - GRAM + 1 grams in a row the least is taken, so two signatures
+    with a common run of `run` characters have one in common.
+    """
+    n = len(data)
+    if n < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w = run - GRAM + 1
+    h = run_hashes(_BYTES[data] * U64(0x9E3779B97F4A7C15) ^ data, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    least = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - run + 1)
+    begin = np.arange(len(least))
+    own = np.searchsorted(offsets, begin, "right") - 1
+    ok = begin + run <= offsets[own + 1]
+    at, index = np.unique(least[ok], return_index=True)
+    own = own[ok][index]
+    return own, signed(mix(h[at] ^ size[own].astype(U64)))
+
 
+def _gram_rows(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """(gram, key, block, weight, part, text): a row for each gram of each signature.
 
-def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Per signature, the hashes of those runs of 5 characters that are least in some (run - 4) of them in a row: a common run of `run` characters has one."""
-    w = run - 4
+    A row of a document's second signature has the first one before it, and
+    `part` says where it begins.
+    """
     for batch in batches:
-        ids, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for column, times in ((2, 1), (3, 2)):
+        key, block, weight = (batch.column(i).to_numpy() for i in (0, 1, 2))
+        one, two = (batch.column(i).to_pylist() for i in (3, 4))
+        for column, times, texts, part in ((3, 1, one, np.zeros(len(key), np.int32)), (4, 2, [x + y for x, y in zip(one, two, strict=True)], np.array([len(x) for x in one], np.int32))):
+            texts = np.array(texts, object)
             for first, _, data, offsets in pieces(batch.column(column)):
-                n = len(data)
-                if n < run:
-                    continue
-                h = run_hashes(_BYTES[data] * U64(0x9E3779B97F4A7C15) ^ data, np.arange(n - 4), np.arange(5, n + 1))
-                least = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - 4 - w + 1)
-                begin = np.arange(len(least))
-                doc = np.searchsorted(offsets, begin, "right") - 1
-                ok = begin + run <= offsets[doc + 1]
-                at, index = np.unique(least[ok], return_index=True)
-                doc = doc[ok][index] + first
-                size = blocks[doc] * times
-                yield pa.RecordBatch.from_arrays([pa.array((h[at] ^ size.astype(U64)).view(np.int64)), pa.array(ids[doc])], ["gram", "id"])
-
-
-def _score(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c = {k: batch.column(k).to_pylist() for k in ("x_block", "x_one", "x_two", "y_block", "y_one", "y_two")}
-        best = np.zeros(batch.num_rows, np.int64)
-        for left, right, factor in (("one", "one", (1, 1)), ("two", "two", (2, 2)), ("one", "two", (1, 2)), ("two", "one", (2, 1))):
-            at = [i for i, (p, q) in enumerate(zip(c["x_block"], c["y_block"], strict=True)) if p * factor[0] == q * factor[1] and min(len(c[f"x_{left}"][i]), len(c[f"y_{right}"][i])) >= run]
-            if at:
-                best[at] = np.maximum(best[at], score([c[f"x_{left}"][i] for i in at], [c[f"y_{right}"][i] for i in at]))
-        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(best)], ["a", "b", "score"]).filter(pa.array(best >= least))
+                own, h = grams(data, offsets, block[first : first + len(offsets) - 1] * times, run)
+                pairs = np.unique(np.stack([own + first, h]), axis=1)
+                for i in range(0, pairs.shape[1], 100_000):
+                    own, h = pairs[:, i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key[own]), pa.array(block[own].astype(np.int32)), pa.array(weight[own]), pa.array(part[own]), pa.array(texts[own], pa.string())], ["gram", "key", "block", "weight", "part", "text"])
+
+
+def runs_in_common(x: list[bytes], y: list[bytes], run: int) -> np.ndarray:
+    out = np.zeros(len(x), bool)
+    for i, (u, v) in enumerate(zip(x, y, strict=True)):
+        out[i] = not {u[k : k + run] for k in range(len(u) - run + 1)}.isdisjoint(v[k : k + run] for k in range(len(v) - run + 1))
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[pa.RecordBatch]:
+    """What the pairs of each gram show: (key, links, other): documents that key matches, and edges that connect what is linked.
+
+    A pair is counted at the least gram that its two signatures have in common,
+    and not for its second signatures if its first ones match.
+    """
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts).combine_chunks()
+    gram, part_a, part_b, mine, key, block, weight, part = (table.column(k).to_numpy() for k in ("gram", "first", "second", "mine", "key", "block", "weight", "part"))
+    texts = [t.encode() for t in table.column("text").to_pylist()]
+    sign = [t[p:] for t, p in zip(texts, part.tolist(), strict=True)]
+    size = np.array([len(t) for t in sign])
+    order = np.lexsort((key, part_b, part_a, gram))
+    table_u, table_w = codes(sign, 0), codes(sign, 1)
+    bag = np.zeros((len(sign), 64), np.uint8)
+    lookup = np.zeros(256, np.uint8)
+    lookup[ALPHABET] = np.arange(64)
+    rows = np.repeat(np.arange(len(sign)), size)
+    np.add.at(bag, (rows, lookup[np.frombuffer(b"".join(sign), np.uint8)]), 1)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    own, h = grams(np.frombuffer(b"".join(sign), np.uint8), offsets, block * np.where(part > 0, 2, 1), run)
+    o = np.lexsort((h, own))
+    own, h = own[o], h[o]
+    start = np.searchsorted(own, np.arange(len(sign) + 1))
+    width = int(np.diff(start).max(initial=1))
+    all_grams = np.full((len(sign), width), np.iinfo(np.int64).max)
+    all_grams[own, np.arange(len(own)) - start[own]] = h
+    links = np.zeros(len(sign), np.int64)
+    edges: list[np.ndarray] = []
+    g = gram[order]
+    same = np.concatenate([(g[1:] == g[:-1]) & (part_a[order][1:] == part_a[order][:-1]) & (part_b[order][1:] == part_b[order][:-1]), [False]])
+    group = np.concatenate([[0], np.cumsum(~same)[:-1]])
+    at, step = np.flatnonzero(same), 1
+    while len(at):
+        for i in range(0, len(at), 1 << 15):
+            x, y = order[at[i : i + (1 << 15)]], order[at[i : i + (1 << 15)] + step]
+            total = size[x] + size[y]
+            # of a divided gram, rows of two parts meet here, each with those of the other part
+            ok = (key[x] != key[y]) & ((part_a[x] == part_b[x]) | (mine[x] != mine[y]))
+            x, y, total = x[ok], y[ok], total[ok]
+            bound = np.minimum(bag[x], bag[y]).sum(axis=1, dtype=np.int64)
+            ok = 200 * bound // np.maximum(1, total) >= least
+            x, y, total = x[ok], y[ok], total[ok]
+            if not len(x):
+                continue
+            p, q = all_grams[x], all_grams[y]
+            here = gram[x][:, None]
+            p, q = np.where(p < here, p, -1), np.where(q < here, q, -2)
+            earlier = np.zeros(len(x), bool)
+            for j in range(width):
+                if (p[:, j] == -1).all():
+                    break
+                earlier |= (p[:, j : j + 1] == q).any(axis=1)
+            x, y, total = x[~earlier], y[~earlier], total[~earlier]
+            ok = 200 * common(table_u[x], table_w[y]) // np.maximum(1, total) >= least
+            x, y = x[ok], y[ok]
+            ok = runs_in_common([sign[k] for k in x], [sign[k] for k in y], run)
+            x, y = x[ok], y[ok]
+            both = np.flatnonzero((part[x] > 0) & (part[y] > 0) & (block[x] == block[y]))
+            if len(both):  # first signatures of one block size: they may match too
+                u, w = [texts[k][: part[k]] for k in x[both]], [texts[k][: part[k]] for k in y[both]]
+                again = (200 * common(codes(u, 0), codes(w, 1)) // np.array([len(s) + len(t) for s, t in zip(u, w, strict=True)]) >= least) & runs_in_common(u, w, run)
+                keep = np.ones(len(x), bool)
+                keep[both[again]] = False
+                x, y = x[keep], y[keep]
+            np.add.at(links, x, weight[y])
+            np.add.at(links, y, weight[x])
+            edges.append(np.stack([key[x], key[y]]))
+            if sum(e.shape[1] for e in edges) > 1 << 20:
+                edges = [forest(np.concatenate(edges, axis=1))]
+        step += 1
+        at = at[at + step < len(order)]
+        at = at[group[at] == group[at + step]]
+    k, where = np.unique(key, return_inverse=True)
+    n = np.bincount(where, links, len(k)).astype(np.int64)
+    some = n > 0
+    yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(n[some]), pa.nulls(int(some.sum()), pa.int64())], ["key", "links", "other"])
+    if edges:
+        a, b = forest(np.concatenate(edges, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], ["key", "links", "other"])
+
+
+def forest(edges: np.ndarray) -> np.ndarray:
+    """As few of the edges as connect the same nodes."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    ends = ends.reshape(2, -1)
+    up = list(range(len(nodes)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    kept = []
+    for i, (a, b) in enumerate(ends.T.tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(i)
+    return edges[:, kept]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -128,31 +243,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, least: int = 60, run: int = 7) -> DataFrame:
-    """(doc_id, block, one, two, match_id, score): each document's fingerprint with each earlier document it matches.
-
-    Fingerprints match if, at one block size, their signatures have a common
-    run of `run` characters and a score of at least `least`.  Documents of one
-    fingerprint are matched with the least doc_id among them, at 100, and that
-    one stands for all of them in other matches.  A document that matches no
-    earlier one has one row with a null match_id; so has an empty text.  A
-    doc_id that is repeated with several texts has a row for each.  An empty
-    table gives no rows.
+    """(doc_id, block, one, two, class_id, links): each document's fingerprint, its class and the number of documents it matches.
+
+    Fingerprints match if they are equal or if, at one block size, their
+    signatures have a common run of `run` characters and a score of at least
+    `least`.  A class is a connected component of matches; class_id is the
+    least doc_id in it.  links counts the rows (doc_id, fingerprint) of all
+    matching fingerprints, equal ones included, but not the row itself.  An
+    empty text matches nothing: it has no links and its own class.  A doc_id
+    that is repeated with several fingerprints has a row for each, one that is
+    repeated with the same one a single row.  An empty table gives no rows.
     """
     own = store.save(fingerprints(docs).distinct(), "fingerprints")
-    same = Window.partitionBy("block", "one", "two")
-    long = own.where(F.length("one") >= run)
-    heads = long.groupBy("block", "one", "two").agg(F.min("doc_id").alias("id"))
-    heads = store.save(heads.select(F.xxhash64("block", "one", "two").alias("key"), "id", "block", "one", "two"), "heads")
-    grams = heads.select("key", "block", "one", "two").mapInArrow(partial(_grams, run=run), "gram long, id long").distinct()
-    pairs = grams.alias("p").join(grams.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct()
-
-    def side(s: str) -> DataFrame:
-        return heads.select(F.col("key").alias(s), *(F.col(k).alias(f"{s}_{k}") for k in ("block", "one", "two")))
-
-    scored = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(partial(_score, least=least, run=run), "a long, b long, score long")
-    ids = heads.select("key", "id")
-    near = scored.join(ids.select(F.col("key").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("v")), "b")
-    near = near.where("u <> v").select(F.greatest("u", "v").alias("doc_id"), F.least("u", "v").alias("match_id"), "score")
-    copies = long.withColumn("match_id", F.min("doc_id").over(same)).where("match_id <> doc_id").select("doc_id", "match_id", F.lit(100).cast("long").alias("score"))
-    found = near.union(copies).groupBy("doc_id", "match_id").agg(F.max("score").alias("score"))
-    return own.join(found, "doc_id", "left").select("doc_id", "block", "one", "two", "match_id", "score")
+    heads = own.where("one <> ''").groupBy("block", "one", "two").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"))
+    heads = store.save(heads.select(F.xxhash64("block", "one", "two").alias("key"), "block", "weight", "one", "two", "id"), "heads")
+    rows = heads.select("key", "block", "weight", "one", "two").mapInArrow(partial(_gram_rows, run=run), "gram long, key long, block int, weight long, part int, text string")
+    # how many rows a gram has is only needed where they are too many for one task; a sample shows that, and the result is the same however rows are divided
+    often = rows.select("gram").sample(1 / SAMPLED, 1).groupBy("gram").count().where(F.col("count") > HOT // SAMPLED).orderBy(F.desc("count"), "gram").limit(MOST_HOT)
+    often = often.select(F.col("gram").alias("_g"), F.ceil(F.col("count") * SAMPLED / HOT).cast("int").alias("n"))
+    divided = rows.join(F.broadcast(often), F.col("gram") == F.col("_g"), "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod("key", F.col("n")).cast("int"))
+    divided = divided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    divided = divided.select("gram", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"), "mine", "key", "block", "weight", "part", "text")
+    found = store.save(divided.repartition("gram", "first", "second").mapInArrow(partial(_links, least=least, run=run), "key long, links long, other long"), "links")
+    linked = found.where("links is not null").groupBy("key").agg(F.sum("links").alias("links"))
+    classes = store.components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    heads = heads.join(linked, "key", "left").join(classes.select(F.col("id").alias("key"), "rep"), "key", "left").withColumn("rep", F.coalesce("rep", "key"))
+    heads = heads.join(heads.groupBy("rep").agg(F.min("id").alias("class_id")), "rep")
+    heads = heads.select("block", "one", "two", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    return own.join(heads, ["block", "one", "two"], "left").select("doc_id", "block", "one", "two", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
