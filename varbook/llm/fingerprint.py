@@ -267,7 +267,8 @@ def matches(docs: DataFrame, least: int = 60, run: int = 7) -> DataFrame:
     found = store.save(divided.repartition("gram", "first", "second").mapInArrow(partial(_links, least=least, run=run), "key long, links long, other long"), "links")
     linked = found.where("links is not null").groupBy("key").agg(F.sum("links").alias("links"))
     classes = store.components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    heads = heads.join(linked, "key", "left").join(classes.select(F.col("id").alias("key"), "rep"), "key", "left").withColumn("rep", F.coalesce("rep", "key"))
-    heads = heads.join(heads.groupBy("rep").agg(F.min("id").alias("class_id")), "rep")
-    heads = heads.select("block", "one", "two", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    return own.join(heads, ["block", "one", "two"], "left").select("doc_id", "block", "one", "two", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    # only keys and numbers are joined, of fingerprints that have links or stand several times
+    known = heads.select("key", "weight", "id").join(linked.join(classes.select(F.col("id").alias("key"), "rep"), "key"), "key", "left").where("links is not null or weight > 1").withColumn("rep", F.coalesce("rep", "key"))
+    known = known.join(known.groupBy("rep").agg(F.min("id").alias("class_id")), "rep").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    out = own.withColumn("key", F.xxhash64("block", "one", "two")).join(known, "key", "left")
+    return out.select("doc_id", "block", "one", "two", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
