@@ -254,8 +254,10 @@ def test_compact_windows_against_the_tree():
         p = i + int(h[i:j].argmin())
         return {p} | nodes(i, p) | nodes(p + 1, j)
 
-    got = substring_dedup.compact_windows(h, np.array([0, 30, 80]), 6).tolist()
-    assert got == sorted(nodes(0, 30) | nodes(30, 80))
+    got, lo, hi = substring_dedup.compact_windows(h, np.array([0, 30, 80]), 6)
+    assert got.tolist() == sorted(nodes(0, 30) | nodes(30, 80))
+    for p, a, b in zip(got, lo, hi):
+        assert [i for i in range(75) if (i + 6 <= 30 or i >= 30) and i <= p < i + 6 and h[i : i + 6].argmin() + i == p] == list(range(a, b + 1))
 
 
 def test_passages(spark):
@@ -275,6 +277,65 @@ def test_passages_behind_a_fragment(spark):
     assert {d for d, _ in got} == {101, 102} and (101, 100) in got
 
 
+@pytest.mark.parametrize("every", [10, 13, 20])
+def test_passages_with_changed_words(spark, every):
+    rows = []
+    for i in range(40):
+        p = words(70, 7000 + i)
+        changed = [f"x{i}-{k}" if k % every == 5 else w for k, w in enumerate(p)]
+        rows += [(2 * i, f"{text(40, 7100 + i)} {' '.join(p)} {text(30, 7200 + i)}"), (2 * i + 1, f"{text(25, 7300 + i)} {' '.join(changed)} {text(50, 7400 + i)}")]
+    got = {(r.match_id, r.doc_id) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(40)} and len(got) >= 38
+
+
+def test_passages_against_all_pairs(spark):
+    """Every exact run of 50 words that an earlier text has too is in a reported passage, and each report is true."""
+    r, pool = random.Random(77), [words(60, 8000 + i) for i in range(12)]
+    texts = []
+    for i in range(60):
+        w = words(r.randrange(20, 90), 8100 + i)
+        for _ in range(r.randrange(3)):
+            p, at = r.choice(pool), r.randrange(len(w))
+            a = r.randrange(11)
+            w[at:at] = p[a : a + r.choice([30, 50, 60])]
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(60, None), (None, rows_text := " ".join(pool[0])), (61, ""), (62, rows_text), (62, "aa bb")]
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen, want = {}, set()
+    for i, w in enumerate([*texts, [], [], pool[0]]):
+        own = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        want |= {(i, k) for k, g in enumerate(own) if seen.get(g, i) < i}
+        for g in own:
+            seen.setdefault(g, i)
+    hit = {(d, k) for d, k in want if any(x.doc_id == d and x.start_word <= k and k + 50 <= x.end_word for x in got)}
+    assert len(want) > 20 and len(hit) >= 0.95 * len(want)
+    for x in got:
+        u, v = Counter(texts[x.match_id][x.match_start : x.match_end] if x.match_id < 60 else pool[0]), Counter((texts[x.doc_id] if x.doc_id < 60 else pool[0])[x.start_word : x.end_word])
+        both = sum((u & v).values())
+        assert x.match_id < x.doc_id and min(sum(u.values()), sum(v.values())) >= 50 and abs(both / (sum(u.values()) + sum(v.values()) - both) - x.jaccard) < 1e-9 and x.jaccard >= 0.8
+
+
+@pytest.mark.parametrize(("near", "rows", "want"), [(True, [(1, "A"), (5, "A"), (5, "B"), (9, "C")], {(5, 1), (9, 5)}), (True, [(1, "A"), (5, "A"), (5, "aa bb")], {(5, 1)})])
+def test_passages_of_repeated_ids(spark, near, rows, want):
+    texts = {"A": text(70, 1), "B": text(70, 2), "C": text(70, 2).replace(" w9", " z9", 1)}
+    docs = spark.createDataFrame([(i, texts.get(t, t)) for i, t in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.match_id) for r in substring_dedup.repeats(docs).collect()} == want
+
+
+def test_near_copies_of_repeated_ids(spark):
+    a, b, u = text(30, 1), text(30, 2), text(30, 3)
+    docs = spark.createDataFrame([(1, a), (5, a), (5, u), (5, u), (7, None), (None, a)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in omh_dedup.one_of_each(docs).collect()) == Counter([(1, a), (5, u), (5, u), (7, None), (None, a)])
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, "x " + " ".join(b.split()[1:]))], "doc_id long, text string")
+    assert {(r.doc_id, r.rep_id) for r in omh_dedup.near_groups(docs).collect()} == {(1, 1), (5, 1), (9, 1)}
+
+
+def test_short_texts_are_near(spark):
+    rows = [(i, " ".join(words(n, 9000 + i // 2)[: n - i % 2] + ["x"] * (i % 2))) for n in (5, 6) for i in range(100 * n, 100 * n + 100)]
+    got = {r.doc_id for r in omh_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= 195
+
+
 def test_near_groups_against_all_pairs(spark):
     r, rows = random.Random(8), []
     for i in range(25):
