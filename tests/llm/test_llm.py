@@ -308,7 +308,7 @@ def test_passages_against_all_pairs(spark):
         for g in own:
             seen.setdefault(g, i)
     hit = {(d, k) for d, k in want if any(x.doc_id == d and x.start_word <= k and k + 50 <= x.end_word for x in got)}
-    assert len(want) > 20 and len(hit) >= 0.95 * len(want)
+    assert len(want) > 20 and len(hit) >= 0.95 * len(want), (want - hit, [tuple(x) for x in got if x.doc_id in {d for d, _ in want - hit}])
     for x in got:
         u, v = Counter(texts[x.match_id][x.match_start : x.match_end] if x.match_id < 60 else pool[0]), Counter((texts[x.doc_id] if x.doc_id < 60 else pool[0])[x.start_word : x.end_word])
         both = sum((u & v).values())
