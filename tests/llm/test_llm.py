@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -147,6 +148,37 @@ def test_html(spark):
     assert got[1].text == got[2].text == text(80, 3) + " & more" and got[3].text == "" and got[4].n_words == 0
 
 
+@pytest.mark.parametrize("page", ["<a" * 5_000_000, "<script " * 1_000_000, '<a ">" ' * 1_000_000, "<a '" * 1_000_000 + ">", "<!-- " * 1_000_000, "<p>" * 300_000])
+def test_html_in_linear_time(page):
+    began = time.time()
+    assert html.extract(page, html.DEFAULT)[1] >= 0 and time.time() - began < 15
+
+
+def test_html_pieces():
+    assert html.pieces("a<b c='>'>d<!-- <i> -->e</b>< f<script>x<y></script >g<3 h<u") == ["a", "<b c='>'>", "d e", "</b>", "< f g<3 h<u"]
+    assert html.pieces("<p title='x>y<q>z")[1::2] == ["<p title='x>", "<q>"] and html.pieces("") == [""] and html.pieces("a<!-- b") == ["a "]
+
+
+def test_embeddings_of_several_dimensions(spark):
+    rows = [(i, [float(x) for x in np.random.default_rng(i).standard_normal(8)]) for i in range(9)] + [(20, [1.0, 2.0]), (21, [1.0, 2.001]), (21, [-5.0, 1.0]), (22, [-5.0, 1.001]), (23, [1.0, 2.0])]
+    docs = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, id string")
+    assert {(r.vec_id, r.rep_id) for r in embed_dedup.near_embeddings(docs).collect()} == {(20, 20), (21, 20), (22, 20), (23, 20)}
+
+
+def test_packs_hold_every_token_once(spark):
+    r = random.Random(12)
+    sizes = [r.choice([0, 1, 7, 40, 99, 100, 101, 230]) for _ in range(400)]
+    docs = spark.createDataFrame([(i // 2, text(n, i), "q") for i, n in enumerate(sizes)], "doc_id long, text string, pack_id string")
+    rows = packing.pack(docs, length=100, bins=20).collect()
+    want = Counter((i // 2, p, 100 * p, min(100, n - 100 * p)) for i, n in enumerate(sizes) for p in range(-(-n // 100)))
+    assert Counter((x.doc_id, x.piece, x.start_token, x.n_tokens) for x in rows) == want
+    assert len({(x.pack_id, x.slot) for x in rows}) == len(rows)
+    full = Counter()
+    for x in rows:
+        full[x.pack_id] += x.n_tokens
+    assert max(full.values()) <= 100 and len(full) <= 1.15 * sum(sizes) / 100
+
+
 def test_budgets():
     have = {("a", "x", "1"): 10.0, ("a", "x", "2"): 100.0, ("b", "y", "3"): 1000.0}
     got = mixing.budgets(have, {("a",): 0.5, ("b",): 0.5, ("a", "x", "1"): 0.5, ("a", "x", "2"): 0.5}, 200, 2)

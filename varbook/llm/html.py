@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"(<[/!?A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?A-Za-z][^>]*>)")
+CLOSING = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "title")}
+MARK = re.compile(r"[>\"']")
+UNCLOSED = 4
+ROWS = 256
 NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9-]*)")
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "header", "footer", "nav", "blockquote", "pre", "td", "th", "main", "aside", "body", "dd", "dt"}
 DEFAULT = {"": -3.0}
@@ -22,8 +24,52 @@ LABEL = ("article", "main")
 
 
 def pieces(page: str) -> list[str]:
-    """Text at even places, tags at odd ones; comments, scripts, styles and the title are gone."""
-    return TAG.split(SKIP.sub(" ", page))
+    """Text at even places, tags at odd ones; comments, scripts, styles and the title are gone.
+
+    One pass over the page, in time linear in its length.  A tag ends at the
+    first > outside quotes, or, if its quotes don't close, at the first one at
+    all; after UNCLOSED such tags quotes count no more on the page.  Without a
+    later > a < is text.  A comment or script that isn't closed takes the rest.
+    """
+    out: list[str] = []
+    text: list[str] = []
+    last, at, begin, unclosed = page.rfind(">"), 0, 0, 0
+    while True:
+        i = page.find("<", at)
+        if i < 0 or (i > last and not page.startswith("<!--", i)):
+            break
+        if page.startswith("<!--", i):
+            text += [page[begin:i], " "]
+            end = page.find("-->", i + 4)
+            at = begin = len(page) if end < 0 else end + 3
+            continue
+        c = page[i + 1 : i + 2]
+        if not (c in "/!?" or (c.isascii() and c.isalpha())):
+            at = i + 1
+            continue
+        end, k = -1, i + 1
+        while unclosed < UNCLOSED:
+            m = MARK.search(page, k)
+            if not m or m[0] == ">":
+                end = m.start() if m else -1
+                break
+            k = page.find(m[0], m.end()) + 1
+            if not k:
+                break
+        if end < 0:
+            unclosed += 1
+            end = page.find(">", i)
+        tag = page[i : end + 1]
+        at = begin_next = end + 1
+        closing = CLOSING.get(tag_name(tag)) if tag[1] != "/" else None
+        if closing:
+            m = closing.search(page, at)
+            text += [page[begin:i], " "]
+            at = begin = m.end() if m else len(page)
+            continue
+        out += ["".join([*text, page[begin:i]]), tag]
+        text, begin = [], begin_next
+    return [*out, "".join([*text, page[begin:]])]
 
 
 def tag_name(tag: str) -> str:
@@ -105,23 +151,27 @@ def fit(pages: list[str]) -> dict[str, float]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text, words, score = zip(*(extract(p, weights) for p in batch.column(2).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(words, pa.int64()), pa.array(score, pa.float64())], ["page_id", "url", "text", "n_words", "score"])
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(i, ROWS)
+            text, words, score = zip(*(extract(p.as_py(), weights) for p in batch.column(2)), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(words, pa.int64()), pa.array(score, pa.float64())], ["page_id", "url", "text", "n_words", "score"])
 
 
-def extract_pages(pages: DataFrame, max_labelled: int = 400) -> DataFrame:
+def extract_pages(pages: DataFrame, max_labelled: int = 400, max_chars: int = 200_000) -> DataFrame:
     """(page_id, url, text, n_words, score) of every page, as many rows as pages has.
 
     pages needs page_id, url and html; other columns are ignored.  The weights
-    are fitted on at most max_labelled pages with a single article or main
-    element, those with the least hash of page_id; without such pages default
-    weights hold.  A null, empty or wordless page has an empty text and a score
-    of 0; repeated rows each have a result.
+    are fitted on at most max_labelled different pages of up to max_chars
+    characters with a single article or main element, those with the least
+    hashes; without such pages default weights hold.  Every page is extracted
+    whole, in time linear in its length, however malformed.  A null, empty or
+    wordless page has an empty text and a score of 0; repeated rows each have a
+    result; an empty table gives no rows.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     # only hashes are ordered; texts of no more than max_labelled pages are fetched
-    mark = own.where(F.col("html").rlike("(?i)<(article|main)[ >]")).withColumn("h", F.xxhash64("page_id", "url"))
-    top = mark.select("h").orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
-    weights = fit([r.html for r in mark.where(F.col("h") <= top).select("html").limit(2 * max_labelled).collect()] if top is not None else [])
+    mark = own.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= max_chars)).withColumn("h", F.xxhash64("html"))
+    top = mark.select("h").distinct().orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
+    weights = fit([r.html for r in mark.where(F.col("h") <= top).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()] if top is not None else [])
     return own.mapInArrow(partial(_extract, weights=weights), "page_id long, url string, text string, n_words long, score double")

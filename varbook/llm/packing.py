@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICES, MOST_SLICES, SLICE_ROWS = 64, 1 << 14, 1 << 20
 
 
 def patterns(bins: int, most: int = 3) -> list[tuple[int, ...]]:
@@ -138,14 +138,16 @@ def pack(docs: DataFrame, length: int = 2048, bins: int = 128, most: int = 3) ->
     with null text too, are in no sequence; a null doc_id is kept; repeated rows
     are packed each; an empty table gives no rows.
     """
+    # rows of a bin are ordered a slice at a time
+    slices = min(MOST_SLICES, max(SLICES, 1 << (docs.count() // SLICE_ROWS).bit_length()))
     unit = -(-length // bins)
     bins = -(-length // unit)
     n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x20]+")), F.lit(0)).cast("long")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).where("n > 0")
     cut = own.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(length).cast("long"))).alias("piece", "start_token"))
     cut = cut.withColumn("n_tokens", F.least(F.lit(length), F.col("n") - F.col("start_token")).cast("long")).drop("n")
-    cut = cut.withColumn("bin", F.ceil(F.col("n_tokens") / unit).cast("long")).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(SLICES)).cast("int"))
-    # at most bins * SLICES rows, whatever the input
+    cut = cut.withColumn("bin", F.ceil(F.col("n_tokens") / unit).cast("long")).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(slices)).cast("int"))
+    # at most bins * MOST_SLICES rows, whatever the input
     counts = cut.groupBy("bin", "part").count().orderBy("bin", "part").collect()
     histogram, starts = np.zeros(bins, np.int64), []
     for r in counts:

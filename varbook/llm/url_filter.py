@@ -10,7 +10,6 @@ RULES = [
     ("free-bets.example.com/", "block"), ("ads-track.example.org/", "block"), ("www.cheap-pills.example.com/de/", "allow"),
     ("example.net/en/97/", "block"), ("therti.example.org/", "block"), ("www.therti.example.org/en/", "allow"),
 ]
-BROADCAST_ROWS = 200_000
 
 
 def expressions(url: Column, most_labels: int, most_folders: int) -> Column:
@@ -55,13 +54,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, prefix: int = 8) -> DataFram
     URL without a host: allow.  Rules with a null field are ignored, repeated
     ones count once.  Pages with the same page_id and url count as one row;
     other columns are ignored.  Hosts and paths are cut down as deep as the
-    deepest rule.  Rules are broadcast up to BROADCAST_ROWS,
-    shuffled beyond.
+    deepest rule.  An empty table of pages gives no rows, one of rules only
+    allows.
     """
     r = rules.where("expression is not null and action in ('allow', 'block')").groupBy("expression").agg(F.min("action").alias("action"))
     r = r.select(F.col("expression").alias("rule"), "action", F.sha2("expression", 256).alias("rule_digest")).withColumn("short", F.substring("rule_digest", 1, prefix))
-    if r.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        r = F.broadcast(r)
     deepest = r.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))), F.max(F.size(F.split("rule", "/")) - 1)).first()
     own = pages.select("page_id", "url", F.posexplode_outer(expressions(F.col("url"), *(max(1, x or 1) for x in deepest))).alias("rank", "expression"))
     own = own.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, prefix)).drop("expression")
@@ -84,8 +81,8 @@ def filter_sql() -> str:
     e AS (SELECT *, string_split(path, '/') AS parts, len(labels) AS n FROM d),
     f AS (SELECT page_id, url, host,
       list_concat([host], CASE WHEN regexp_matches(host, '^\\d+(\\.\\d+){{3}}$') OR n < 2 THEN [] ELSE
-        (list_transform(list_filter(range(1, n - 1), lambda i: i >= n - 5), lambda i: array_to_string(labels[i + 1:], '.')))[1:4] END) AS hosts,
-      list_concat([tail, path], list_reverse(list_transform(range(1, least(len(parts), 5)), lambda k: array_to_string(parts[1:k], '/') || '/'))) AS paths FROM e),
+        list_transform(range(1, n - 1), lambda i: array_to_string(labels[i + 1:], '.')) END) AS hosts,
+      list_concat([tail, path], list_reverse(list_transform(range(1, len(parts)), lambda k: array_to_string(parts[1:k], '/') || '/'))) AS paths FROM e),
     g AS (SELECT page_id, url, unnest(hosts) AS h, generate_subscripts(hosts, 1) AS hi, paths FROM f WHERE host <> ''),
     x AS (SELECT page_id, url, h || unnest(paths) AS expression, hi, generate_subscripts(paths, 1) AS pi FROM g),
     y AS (SELECT page_id, url, action, x.expression AS rule, row_number() OVER (PARTITION BY page_id, url ORDER BY hi, pi) AS k FROM x JOIN rules USING (expression))
