@@ -60,7 +60,7 @@ def describe_content(encoding: str | None, media: str | None) -> str:
 FRIENDLY = [
     (lambda p: re.search(r"\\d\{5\}(\(\?:\)|\(|\\-|-)?.*\\d\{4\}", p) or r"^\d{5}" in p, "US ZIP code"),
     (lambda p: re.search(r"\\d\{3\}.*\\d\{2\}.*\\d\{4\}", p), "US Social Security Number"),
-    (lambda p: "/" in p and re.search(r"(d\{4\}).*(d\{2\}).*(d\{2\})", p), "Date (dd/mm/yyyy)"),
+    (lambda p: "/" in p and re.search(r"([0-9]\{4\}).*([0-9]\{2\}).*([0-9]\{2\})", p), "Date (dd/mm/yyyy)"),
     (lambda p: re.search(r"[+]?\\d\{1,3\}.*\\d", p) and re.search("phone|tel", p, re.I), "Phone number"),
 ]
 

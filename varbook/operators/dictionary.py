@@ -17,7 +17,7 @@ VALUE = "struct<value: string, label: string, description: string, kind: string,
 CONSTRAINT = "struct<keyword: string, text: string, condition: string>"
 COMPILED = (
     "dataset string, part string, ix int, category_ix int, category string, variable string, description string, data_type string, format string, "
-    f"valid_values array<{VALUE}>, constraints array<{CONSTRAINT}>, additional_information string, source_uri string, detail string"
+    f"valid_values array<{VALUE}>, constraints array<{CONSTRAINT}>, additional_information string, source_uri string, source string, detail string"
 )
 USER_COLUMNS = [("variable", "Variable name"), ("description", "Description"), ("data_type", "Data type"), ("format", "Format"), ("values_text", "Valid values"), ("constraints_text", "Constraints"), ("info_text", "Additional information")]
 
@@ -46,7 +46,7 @@ def _compile(pdf: pd.DataFrame, options: BuildOptions) -> pd.DataFrame:
         for i, x in enumerate(c["rows"]):
             strip = [{k: v[k] for k in ("value", "label", "description", "kind", "condition")} for v in x["valid_values"]]
             limits = [{k: v.get(k) for k in ("keyword", "text", "condition")} for v in x["constraints"]]
-            out.append({"part": "row", "ix": i, "category_ix": x["category_ix"], "category": x["category"], "variable": x["variable"], "description": x["description"], "data_type": x["data_type"], "format": x["format"], "valid_values": strip, "constraints": limits, "additional_information": canonical(x["info"]) if x["info"] else None, "source_uri": x["source_uri"]})
+            out.append({"part": "row", "ix": i, "category_ix": x["category_ix"], "category": x["category"], "variable": x["variable"], "description": x["description"], "data_type": x["data_type"], "format": x["format"], "valid_values": strip, "constraints": limits, "additional_information": canonical(x["info"]) if x["info"] else None, "source_uri": x["source_uri"], "source": x["source"]})
         out += [{"part": "category", "ix": i, "category": x["title"], "description": x["description"], "detail": x["id"]} for i, x in enumerate(c["categories"])]
         out += [{"part": "rule", "ix": i, "description": x["description"], "detail": canonical(x)} for i, x in enumerate(c["rules"])]
         out += [{"part": "meta", "ix": 0, "description": c["meta"]["description"], "variable": c["meta"]["title"], "detail": c["meta"]["$comment"]}]
@@ -105,7 +105,7 @@ class Dictionary:
 
     def plain_rows(self, internal: bool = False, empty: str = "") -> DataFrame:
         cells = [F.col(a).alias(b) if a == "variable" else F.when(F.coalesce(F.col(a), F.lit("")) == "", F.lit(empty)).otherwise(F.col(a)).alias(b) for a, b in USER_COLUMNS]
-        return self.view().select("dataset", "ix", *cells, *([F.col("category").alias("Category"), F.col("source_uri").alias("Source")] if internal else []))
+        return self.view().select("dataset", "ix", *cells, *([F.col("category").alias("Category"), F.col("source").alias("Source")] if internal else []))
 
     def to_csv(self, internal: bool = False) -> DataFrame:
         """(dataset, csv): one text a dataset, CRLF between lines, none at the end."""
@@ -136,7 +136,7 @@ class Dictionary:
 
 def values_text(values: Column) -> Column:
     def line(v: Column) -> Column:
-        shown = F.when(v["value"].startswith('"'), F.regexp_replace(v["value"], '^"|"$', "")).otherwise(v["value"])
+        shown = F.when(v["value"].startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v["value"], F.lit("}")), "$.v")).otherwise(v["value"])
         name = F.coalesce(v["label"], v["description"])
         text = F.concat(shown, F.coalesce(F.concat(F.lit(" = "), name), F.lit("")), F.coalesce(F.concat(F.lit(" [when "), v["condition"], F.lit("]")), F.lit("")))
         return F.when(v["kind"] == "measurement", F.concat(F.coalesce(v["label"], F.lit("measured value")), F.lit(" (measured value)"))).otherwise(text)
