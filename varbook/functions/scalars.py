@@ -24,7 +24,7 @@ def number_text(x: Column) -> Column:
     narrow = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""))
     power = F.concat(sign, mantissa, F.when(exponent > 0, "e+").otherwise("e-"), F.abs(exponent).cast("string"))
-    return F.when((F.floor(x) == x) & (size < 1e21), x.cast("decimal(38,0)").cast("string")).when(exponent.isNull(), plain).when((size >= 1e21) | (size < 1e-6), power).when(size >= 1, wide).otherwise(narrow)
+    return F.when((F.rint(x) == x) & (size < 1e21), x.cast("decimal(38,0)").cast("string")).when(exponent.isNull(), plain).when((size >= 1e21) | (size < 1e-6), power).when(size >= 1, wide).otherwise(narrow)
 
 
 def json_type(value: Column) -> Column:
@@ -32,7 +32,7 @@ def json_type(value: Column) -> Column:
     v = F.trim(value)
     number = v.try_cast("double")
     named = F.when(v.startswith("{"), "object").when(v.startswith("["), "array").when(v.startswith('"'), "string").when(v == "null", "null").when(v.isin("true", "false"), "boolean")
-    return F.coalesce(named, F.when(number == F.floor(number), "integer").when(number.isNotNull(), "number"))
+    return F.coalesce(named, F.when(number == F.rint(number), "integer").when(number.isNotNull(), "number"))
 
 
 def display_value(value: Column) -> Column:
