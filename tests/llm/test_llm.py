@@ -439,3 +439,18 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.where("false"), d).columns == columns, name
     assert corpus_pipeline.run(spark, d).count() > 0
+
+
+def test_agreement_against_all_pairs():
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(0, 200))
+        pair, at, diagonal, function = (r.integers(0, k, n) for k in (5, 60 if seed % 2 else 2000, 5 if seed % 3 else 80, 6))
+        near = (pair[:, None] == pair) & (np.abs(at[:, None] - at) <= 48) & (np.abs(diagonal[:, None] - diagonal) <= 12)
+        for enough in (1, 2, 3):
+            want = np.array([len(set(function[x])) >= enough for x in near], bool)
+            assert (substring_dedup.agreeing(pair, at, diagonal, function, enough, 48) == want).all()
+    n = 4000  # a line that a text repeats: one place of the earlier text, thousands of diagonals
+    began = time.time()
+    got = substring_dedup.agreeing(np.zeros(6 * n, int), np.repeat(np.arange(6) * 7, n), np.tile(np.arange(n) * 9, 6), np.repeat(np.arange(6), n), 2, 48)
+    assert got.all() and time.time() - began < 5
