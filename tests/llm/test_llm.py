@@ -454,3 +454,31 @@ def test_agreement_against_all_pairs():
     began = time.time()
     got = substring_dedup.agreeing(np.zeros(6 * n, int), np.repeat(np.arange(6) * 7, n), np.tile(np.arange(n) * 9, 6), np.repeat(np.arange(6), n), 2, 48)
     assert got.all() and time.time() - began < 5
+
+
+@pytest.mark.parametrize(("sampled", "often"), [(16, 2), (1, 6), (1, 1)])
+def test_passages_among_many_fragments(spark, monkeypatch, sampled, often):
+    """Two documents have a passage in common, and many before and between them 40 words of it."""
+    monkeypatch.setattr(substring_dedup, "SAMPLED", sampled)
+    monkeypatch.setattr(substring_dedup, "OFTEN", often)
+    rows, want = [], set()
+    for k in range(12):
+        p, base = words(50, 9000 + k), 100 * k
+        for i in range(14):
+            own = p if i in (5, 12) else p[5:45]
+            rows.append((base + i, f"{text(60, 9100 + base + i)} {' '.join(own)} {text(60, 19100 + base + i)}"))
+        want.add((base + 12, base + 5))
+    got = {(r.doc_id, r.match_id) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_passages_of_a_text_with_repeats(spark):
+    """The earlier document's match is neither its first nor its last window under the tokens."""
+    rows, want = [], set()
+    for k in range(12):
+        p, base = words(50, 9500 + k), 10 * k
+        near = [f"{text(60, 9600 + 50 * k + i)} {' '.join(p[5:45])} {text(60, 29600 + 50 * k + i)}" for i in range(20)]
+        rows += [(base, f"{' '.join(near[:9])} {' '.join(p)} {' '.join(near[9:])}"), (base + 1, f"{text(60, 39600 + k)} {' '.join(p)} {text(60, 49600 + k)}")]
+        want.add((base + 1, base))
+    got = {(r.doc_id, r.match_id) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
