@@ -482,3 +482,25 @@ def test_passages_of_a_text_with_repeats(spark):
         want.add((base + 1, base))
     got = {(r.doc_id, r.match_id) for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_rare_tokens_go_without_the_next():
+    """Only where groups may be divided do rows have the tokens after theirs; groups larger than foreseen stay whole."""
+    import pyarrow as pa
+
+    lines = [text(30, 60000 + i) for i in range(50)] + [f"{text(24, 60100)} {text(6, 60200 + i)}" for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], ["doc_id", "text"])
+    counts = np.zeros(line_dedup.COUNTERS, np.uint8)
+    tokens = line_dedup.line_tokens(*line_dedup.pieces(batch.column(1)).__next__()[2:], 1)[3]
+    np.add.at(counts, (tokens & np.uint64(line_dedup.COUNTERS - 1)).astype(np.int64), 1)
+    rank = type("Rank", (), {"value": np.where(counts, np.maximum(1, 8 * np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)})
+
+    def found(divide_at, often):
+        rows = list(line_dedup._prefixes(iter([batch]), 1, 1, 0.8, rank, 100, 1 << 20, divide_at))
+        pairs = {(r["doc_a"], r["doc_b"]) for b in line_dedup._candidates(iter(rows), 0.8, often, 1000) for r in b.to_pylist() if r["token"] is None}
+        return sum(len(x) for b in rows for x in b.column("next").to_pylist()), pairs
+
+    some, want = found(192, 192)
+    none, divided = found(1, 192)
+    assert some == 0 < none and want == divided
+    assert found(192, 3)[1] >= found(1, 3)[1]
