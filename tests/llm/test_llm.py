@@ -94,6 +94,27 @@ def test_fingerprints_against_all_pairs(spark, monkeypatch, hot):
     assert got == {i: (want[i], rep.get(i, i)) for i in prints} and len(rep) > 40
 
 
+def test_signatures_travel_only_for_runs_in_common(spark, monkeypatch):
+    """Documents that have no run in common with another send no signature, whatever grams they share."""
+    import pyarrow as pa
+
+    seen = []
+    saved = store.save
+    monkeypatch.setattr(store, "save", lambda df, name: seen.append((name, saved(df, name))) or seen[-1][1])
+    base = text(300, 70000)
+    docs = spark.createDataFrame([(i, text(300, 70001 + i)) for i in range(200)] + [(500, base), (501, base + " tail end")], "doc_id long, text string")
+    got = {r.doc_id: r.links for r in fingerprint.matches(docs).collect() if r.links}
+    keys = {r.key for n, df in seen if n == "heads" for r in df.where("id >= 500").collect()}
+    assert got == {500: 1, 501: 1} and len(keys) == 2
+    sent = [r.key for n, df in seen if n == "grams" for r in df.collect()]
+    assert keys <= set(sent) and len(set(sent) - keys) < 10
+    # a gram alone is not enough, one run around it is
+    ones = ["ABCDEFGHIJKLMNOP", "QRSABCDEFGHIJTUV", "xxABCDyy"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([3, 3, 3]), pa.array(ones), pa.array([""] * 3)], ["key", "block", "one", "two"])
+    rows = [r for b in fingerprint._shared(fingerprint._gram_rows(iter([batch]), 7), 7) for r in b.to_pylist()]
+    assert {r["key"] for r in rows} == {1, 2} and not any(r["second"] for r in rows)
+
+
 def test_rolling_hash_depends_on_seven_bytes():
     x = np.frombuffer(b"abcdefghijklmnopq", np.uint8)
     assert fingerprint.rolling(x)[-1] == fingerprint.rolling(x[5:])[-1]

@@ -81,43 +81,80 @@ def common(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return LENGTH - np.bitwise_count(v).astype(np.int64)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, size: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, hash) of the winnowed grams of signatures of the given block sizes.
+def runs(data: np.ndarray, offsets: np.ndarray, size: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
+    """(signature, gram, the gram's place, begin, hash) of each run of `run` characters of signatures of the given block sizes.
 
-    Of any run - GRAM + 1 grams in a row the least is taken, so two signatures
-    with a common run of `run` characters have one in common.
+    A run's gram is the least hash of its GRAM characters in a row, so two
+    signatures with a common run have its gram in common.
     """
     n = len(data)
     if n < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = run - GRAM + 1
-    h = run_hashes(_BYTES[data] * U64(0x9E3779B97F4A7C15) ^ data, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-    least = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - run + 1)
-    begin = np.arange(len(least))
+        return (np.zeros(0, np.int64),) * 5
+    values = _BYTES[data] * U64(0x9E3779B97F4A7C15) ^ data
+    h = run_hashes(values, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    begin = np.arange(n - run + 1)
+    least = np.lib.stride_tricks.sliding_window_view(h, run - GRAM + 1).argmin(axis=1) + begin
     own = np.searchsorted(offsets, begin, "right") - 1
     ok = begin + run <= offsets[own + 1]
-    at, index = np.unique(least[ok], return_index=True)
-    own = own[ok][index]
-    return own, signed(mix(h[at] ^ size[own].astype(U64)))
+    own, least, begin = own[ok], least[ok], begin[ok]
+    return own, signed(mix(h[least] ^ size[own].astype(U64))), least, begin, signed(run_hashes(values, begin, begin + run))
+
+
+def _field(place: int, run: int) -> tuple[np.uint64, np.uint64]:
+    """(shift, mask) of the bits for the run that begins `place` characters before its gram."""
+    bits = 60 // (run - GRAM + 1)
+    return U64(1 + place * bits), U64((1 << bits) - 1)
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """(gram, key, block, weight, part, text): a row for each gram of each signature.
+    """(gram, key, around): a row for each gram of each signature, without the signature.
 
-    A row of a document's second signature has the first one before it, and
-    `part` says where it begins.
+    around has a bit for second signatures and some bits of the hash of each run
+    that has the gram, by where the run begins; those of other runs are random.
     """
     for batch in batches:
-        key, block, weight = (batch.column(i).to_numpy() for i in (0, 1, 2))
-        one, two = (batch.column(i).to_pylist() for i in (3, 4))
-        for column, times, texts, part in ((3, 1, one, np.zeros(len(key), np.int32)), (4, 2, [x + y for x, y in zip(one, two, strict=True)], np.array([len(x) for x in one], np.int32))):
-            texts = np.array(texts, object)
+        key, block = (batch.column(i).to_numpy() for i in (0, 1))
+        for column in (2, 3):
             for first, _, data, offsets in pieces(batch.column(column)):
-                own, h = grams(data, offsets, block[first : first + len(offsets) - 1] * times, run)
-                pairs = np.unique(np.stack([own + first, h]), axis=1)
-                for i in range(0, pairs.shape[1], 100_000):
-                    own, h = pairs[:, i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key[own]), pa.array(block[own].astype(np.int32)), pa.array(weight[own]), pa.array(part[own]), pa.array(texts[own], pa.string())], ["gram", "key", "block", "weight", "part", "text"])
+                own, gram, least, begin, h = runs(data, offsets, block[first : first + len(offsets) - 1] * (column - 1), run)
+                at, index, which = np.unique(least, return_index=True, return_inverse=True)
+                own, gram, place, h = own[index], gram[index], least - begin, h.view(U64)
+                around = mix(key[first + own].view(U64) ^ U64(column)) & ~U64(1) | U64(column - 2)
+                for i in range(run - GRAM + 1):
+                    shift, mask = _field(i, run)
+                    some = place == i
+                    around[which[some]] = around[which[some]] & ~(mask << shift) | (h[some] & mask) << shift
+                order = np.lexsort((around, gram, own))
+                own, gram, around = own[order], gram[order], around[order]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])
+                columns = (gram[new], key[first + own[new]], signed(around[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["gram", "key", "around"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """(gram, key, second): rows whose gram has a run in common with that of another key, as far as the bits show; no such row is missed."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    gram, key, around = (table.column(k).to_numpy() for k in ("gram", "key", "around"))
+    order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    again = g[1:] == g[:-1]
+    some = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]
+    gram, key, around = gram[some], key[some], around[some].view(U64)
+    keep = np.zeros(len(gram), bool)
+    for i in range(run - GRAM + 1 if len(gram) else 0):
+        shift, mask = _field(i, run)
+        code = around >> shift & mask
+        order = np.lexsort((key, code, gram))
+        g, c, k = gram[order], code[order], key[order]
+        new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
+        ends = np.append(new[1:], len(g))
+        keep[order] |= np.repeat(k[new] != k[ends - 1], ends - new)
+    columns = (gram[keep], key[keep], (around[keep] & U64(1)).astype(bool))
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["gram", "key", "second"])
 
 
 def runs_in_common(x: list[bytes], y: list[bytes], run: int) -> np.ndarray:
@@ -130,8 +167,8 @@ def runs_in_common(x: list[bytes], y: list[bytes], run: int) -> np.ndarray:
 def _links(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[pa.RecordBatch]:
     """What the pairs of each gram show: (key, links, other): documents that key matches, and edges that connect what is linked.
 
-    A pair is counted at the least gram that its two signatures have in common,
-    and not for its second signatures if its first ones match.
+    A pair is counted at the least gram of the runs that its two signatures have
+    in common, and not for its second signatures if its first ones match.
     """
     parts = [b for b in batches if b.num_rows]
     if not parts:
@@ -149,13 +186,14 @@ def _links(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[
     rows = np.repeat(np.arange(len(sign)), size)
     np.add.at(bag, (rows, lookup[np.frombuffer(b"".join(sign), np.uint8)]), 1)
     offsets = np.concatenate([[0], np.cumsum(size)])
-    own, h = grams(np.frombuffer(b"".join(sign), np.uint8), offsets, block * np.where(part > 0, 2, 1), run)
+    own, h, _, _, r = runs(np.frombuffer(b"".join(sign), np.uint8), offsets, block * np.where(part > 0, 2, 1), run)
     o = np.lexsort((h, own))
-    own, h = own[o], h[o]
+    own, h, r = own[o], h[o], r[o]
     start = np.searchsorted(own, np.arange(len(sign) + 1))
     width = int(np.diff(start).max(initial=1))
-    all_grams = np.full((len(sign), width), np.iinfo(np.int64).max)
+    all_grams, all_runs = np.full((len(sign), width), np.iinfo(np.int64).max), np.zeros((len(sign), width), np.int64)
     all_grams[own, np.arange(len(own)) - start[own]] = h
+    all_runs[own, np.arange(len(own)) - start[own]] = r
     links = np.zeros(len(sign), np.int64)
     edges: list[np.ndarray] = []
     g = gram[order]
@@ -174,9 +212,18 @@ def _links(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[
             x, y, total = x[ok], y[ok], total[ok]
             if not len(x):
                 continue
-            p, q = all_grams[x], all_grams[y]
             here = gram[x][:, None]
-            p, q = np.where(p < here, p, -1), np.where(q < here, q, -2)
+            # a run of this gram in common, and none of an earlier gram
+            p, q = np.where(all_grams[x] == here, all_runs[x], -1), np.where(all_grams[y] == here, all_runs[y], -2)
+            ok, now = np.zeros(len(x), bool), (p != -1).argmax(axis=1)
+            for j in range(width):
+                column = np.minimum(now + j, width - 1)
+                own_run = p[np.arange(len(x)), column][:, None]
+                if (own_run == -1).all():
+                    break
+                ok |= (own_run == q).any(axis=1)
+            x, y, total, here = x[ok], y[ok], total[ok], here[ok]
+            p, q = np.where(all_grams[x] < here, all_runs[x], -1), np.where(all_grams[y] < here, all_runs[y], -2)
             earlier = np.zeros(len(x), bool)
             for j in range(width):
                 if (p[:, j] == -1).all():
@@ -257,9 +304,13 @@ def matches(docs: DataFrame, least: int = 60, run: int = 7) -> DataFrame:
     own = store.save(fingerprints(docs).distinct(), "fingerprints")
     heads = own.where("one <> ''").groupBy("block", "one", "two").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"))
     heads = store.save(heads.select(F.xxhash64("block", "one", "two").alias("key"), "block", "weight", "one", "two", "id"), "heads")
-    rows = heads.select("key", "block", "weight", "one", "two").mapInArrow(partial(_gram_rows, run=run), "gram long, key long, block int, weight long, part int, text string")
+    rows = heads.select("key", "block", "one", "two").mapInArrow(partial(_gram_rows, run=run), "gram long, key long, around long")
+    # most grams have no run in common with another document's; signatures are only sent for those that may
+    shared = store.save(rows.repartition("gram").mapInArrow(partial(_shared, run=run), "gram long, key long, second boolean").distinct(), "grams")
+    text, part = F.when(F.col("second"), F.concat("one", "two")).otherwise(F.col("one")), F.when(F.col("second"), F.length("one")).otherwise(0)
+    rows = shared.join(heads, "key").select("gram", "key", F.col("block").cast("int").alias("block"), "weight", part.alias("part"), text.alias("text"))
     # how many rows a gram has is only needed where they are too many for one task; a sample shows that, and the result is the same however rows are divided
-    often = rows.select("gram").sample(1 / SAMPLED, 1).groupBy("gram").count().where(F.col("count") > HOT // SAMPLED).orderBy(F.desc("count"), "gram").limit(MOST_HOT)
+    often = shared.select("gram").sample(1 / SAMPLED, 1).groupBy("gram").count().where(F.col("count") > HOT // SAMPLED).orderBy(F.desc("count"), "gram").limit(MOST_HOT)
     often = often.select(F.col("gram").alias("_g"), F.ceil(F.col("count") * SAMPLED / HOT).cast("int").alias("n"))
     divided = rows.join(F.broadcast(often), F.col("gram") == F.col("_g"), "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod("key", F.col("n")).cast("int"))
     divided = divided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
