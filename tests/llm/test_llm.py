@@ -477,6 +477,49 @@ def test_agreement_against_all_pairs():
     assert got.all() and time.time() - began < 5
 
 
+def test_spots_of_a_pair_travel_packed():
+    """Two documents with thousands of meetings make one row of few bytes, and none is lost."""
+    import pyarrow as pa
+
+    n = 120
+    doc, at = np.repeat([1, 2], n), np.tile(np.arange(n) * 30, 2)
+    place = at << 24 | np.arange(2 * n) % n << 54 | 10 << 8 | 245
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in (np.full(2 * n, 77), doc, place, np.full(2 * n, 5 << 32 | 6))], ["key", "doc_id", "place", "context"])
+    rows = [r for b in substring_dedup._edges(iter([batch]), 6) for r in b.to_pylist()]
+    assert [(r["a"], r["b"]) for r in rows] == [(1, 2)] and len(rows[0]["spots"]) < 2 * n * n
+    a, d, f = substring_dedup.unpack(rows[0]["spots"])
+    assert {(x, x + y) for x, y in zip(a.tolist(), d.tolist(), strict=True)} == {(x * 30, y * 30) for x in range(n) for y in range(n)} and not f.any()
+    for m in (0, 1, 3, 500):
+        r = np.random.default_rng(m)
+        own = r.integers(0, 1 << 29, m), r.integers(-(1 << 29), 1 << 29, m), r.integers(0, 6, m)
+        assert (substring_dedup.unpack(substring_dedup.pack(*own)) == np.stack(own)).all()
+
+
+def test_spots_without_a_long_match_give_no_passage():
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        x, y = ([r.integers(0, 3 if seed % 2 else 50, int(r.integers(1, 300))).astype(np.uint32) for _ in range(4)] for _ in range(2))
+        for k in range(4):  # changed, lost and added words
+            v = list(x[k])
+            for _ in range(int(r.integers(0, 12))):
+                i = int(r.integers(0, len(v)))
+                v[i : i + int(r.integers(0, 2))] = [int(r.integers(100, 200))] * int(r.integers(0, 2)) or v[i : i + 1]
+            y[k] = np.array(v, np.uint32)
+        pair, at, diagonal = r.integers(0, 4, 400), r.integers(-3, 300, 400), r.integers(-4, 5, 400)
+        ok = substring_dedup.long_enough(x, y, pair, at, diagonal, 20, 3)
+        for k in range(400):
+            got = substring_dedup.passages(x[pair[k]], y[pair[k]], [(int(at[k]), int(diagonal[k]))], 20, 0.0, 3)
+            assert bool(got) == ok[k]
+
+
+def test_dense_spots_agree_in_little_time():
+    r = np.random.default_rng(5)
+    n = 60_000  # of two texts that repeat lines, thousands of spots within the same places and diagonals
+    began = time.time()
+    got = substring_dedup.agreeing(np.zeros(n, int), r.integers(0, 200, n), r.integers(0, 100, n), r.integers(0, 6, n), 2, 48)
+    assert got.all() and time.time() - began < 2
+
+
 @pytest.mark.parametrize(("sampled", "often"), [(16, 2), (1, 6), (1, 1)])
 def test_passages_among_many_fragments(spark, monkeypatch, sampled, often):
     """Two documents have a passage in common, and many before and between them 40 words of it."""
