@@ -568,3 +568,13 @@ def test_rare_tokens_go_without_the_next():
     none, divided = found(1, 192)
     assert some == 0 < none and want == divided
     assert found(192, 3)[1] >= found(1, 3)[1]
+
+
+def test_dense_spots_of_one_function_agree_in_little_time():
+    """Spots in dense places that no other function settles: their number in reach must not count."""
+    r = np.random.default_rng(6)
+    n = 60_000
+    at, diagonal = np.append(r.integers(0, 100, n), 0), np.append(r.integers(0, 300, n), 0)
+    began = time.time()
+    got = substring_dedup.agreeing(np.zeros(n + 1, int), at, diagonal, np.append(np.zeros(n, int), 3), 2, 48)
+    assert (got == ((at <= 48) & (diagonal <= 12))).all() and time.time() - began < 2
