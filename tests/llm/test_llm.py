@@ -578,3 +578,17 @@ def test_dense_spots_of_one_function_agree_in_little_time():
     began = time.time()
     got = substring_dedup.agreeing(np.zeros(n + 1, int), at, diagonal, np.append(np.zeros(n, int), 3), 2, 48)
     assert (got == ((at <= 48) & (diagonal <= 12))).all() and time.time() - began < 2
+
+
+def test_batches_without_any_passage():
+    """A batch of pairs none of which agrees, and one none of which aligns, give no rows and no error."""
+    import pyarrow as pa
+
+    one = [np.array(v) for v in ([5], [3], [0])]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([[substring_dedup.pack(*one)]], pa.list_(pa.binary()))], ["a", "b", "spots"])
+    assert sum(b.num_rows for b in substring_dedup._agree(iter([batch]), 2, 48)) == 0
+    text_ = np.arange(20, dtype=np.uint32).tobytes()
+    columns = [pa.array([1]), pa.array([2]), pa.array([substring_dedup.pack(*one)], pa.binary()), pa.array([0]), pa.array([text_], pa.binary()), pa.array([0]), pa.array([text_], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["a", "b", "spots", "u", "x", "v", "y"])
+    assert sum(b.num_rows for b in substring_dedup._verify(iter([batch]), 50, 0.8, 3)) == 0
+    assert substring_dedup.pack_all(*[np.zeros(0, np.int64)] * 4) == [] and substring_dedup.unpack_all([])[1].shape == (3, 0)
