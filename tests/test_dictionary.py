@@ -7,7 +7,7 @@ from varbook.functions import formats
 from varbook.functions import scalars as S
 from varbook.operators.dictionary import BuildOptions, Dictionary
 from varbook.plans.compiler import Compiler, canonical, num_text
-from varbook.plans.queries import EVENTS, dictionary
+from varbook.plans.queries import EVENTS, dictionary, queries
 from varbook.sources import documents
 
 PARTS = [
@@ -137,3 +137,10 @@ def test_json_values(spark):
     df = spark.createDataFrame([('"a\\"b"', "string"), ("1e2", "integer"), ("x", None), (None, None), (" [1]", "array")], "v string, t string")
     assert all(r.t == r.got for r in df.withColumn("got", S.json_type(F.col("v"))).collect())
     assert df.select(S.display_value(F.col("v")).alias("d")).first().d == 'a"b'
+
+
+def test_merge_bounds_ties(spark, tmp_path):
+    rows = [(k, 1, n, float(10 * i + k)) for k in range(3) for i, n in enumerate((1, 1, 2, 2))]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in queries()["a4_merge_bounds"](spark, str(tmp_path)).collect()}
+    assert got == {(k, 30.0 + k, 0.0 + k) for k in range(3)}

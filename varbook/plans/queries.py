@@ -65,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "n5_decode_pointer": lambda s, d: _read(s, d, "pages").select("page_id", F.explode(S.decode_pointer(F.concat(F.lit("/"), T.encode_pointer(c("url")), F.lit("/a~1b~01")))).alias("part")),
         "n6_fragment": lambda s, d: _read(s, d, "pages").select("page_id", S.strip_fragment(F.concat("url", F.lit("#/x"))).alias("base"), S.fragment_uri(F.concat("url", F.lit("#")), F.lit("/$defs/a")).alias("uri")),
         "j3_unresolved": lambda s, d: documents.unresolved(_read(s, d, "lineitem").where(c("l_partkey") % 3 == 0).select(F.concat(F.lit("p#"), c("l_partkey").cast("string")).alias("ref")), _read(s, d, "part").where(c("p_size") > 10).select(F.concat(F.lit("p#"), c("p_partkey").cast("string")).alias("uri"))),
-        "a4_merge_bounds": lambda s, d: _read(s, d, "lineitem").groupBy("l_partkey").agg(F.max_by("l_quantity", F.struct("l_orderkey", "l_linenumber")).alias("last_wins"), F.min_by("l_quantity", F.struct("l_orderkey", "l_linenumber")).alias("first_wins")),
+        "a4_merge_bounds": lambda s, d: _merged(_read(s, d, "lineitem")),
         "k4_values_text": lambda s, d: _read(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.struct(F.when(c("n_nationkey") % 2 == 0, c("n_nationkey").cast("string")).otherwise(F.concat(F.lit('"'), c("n_name"), F.lit('"'))).alias("value"), F.when(c("n_nationkey") % 3 > 0, c("n_name")).alias("label"), F.when(c("n_nationkey") % 3 == 0, F.lit("other")).alias("description"), F.when(c("n_nationkey") % 5 == 0, "measurement").otherwise("value").alias("kind"), F.when(c("n_nationkey") % 7 == 0, F.lit("a = 1")).alias("condition")).alias("v")))).alias("x")).select("n_regionkey", values_text(F.transform("x", lambda x: x["v"])).alias("values_text")),
         "v11_highlight": lambda s, d: _read(s, d, "part").select("p_partkey", S.highlight(F.concat(F.lit("<"), c("p_name"), F.lit(" & "), F.upper("p_name")), "WID").alias("html")),
         "f5_encoded_content": lambda s, d: _read(s, d, "part").groupBy(S.encoded_content(F.when(c("p_size") % 3 == 0, "BASE64").when(c("p_size") % 3 == 1, "hex"), F.when(c("p_size") % 2 == 0, c("p_type"))).alias("content")).agg(F.count("*").alias("n")),
@@ -118,6 +118,12 @@ def _json_values(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", made.alias("v"))
 
 
+def _merged(lineitem: DataFrame) -> DataFrame:
+    """Each part's first and last quantity; of lines with equal keys the place in the files decides."""
+    place = F.struct("l_orderkey", "l_linenumber", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return lineitem.select("l_partkey", "l_quantity", place.alias("place")).groupBy("l_partkey").agg(F.max_by("l_quantity", "place").alias("last_wins"), F.min_by("l_quantity", "place").alias("first_wins"))
+
+
 def _bounds(lineitem: DataFrame) -> DataFrame:
     """Lines with bounds of every kind."""
     k, q, p = F.col("l_orderkey") % 7, F.col("l_quantity"), F.col("l_extendedprice")
