@@ -1,8 +1,10 @@
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -592,3 +594,30 @@ def test_batches_without_any_passage():
     batch = pa.RecordBatch.from_arrays(columns, ["a", "b", "spots", "u", "x", "v", "y"])
     assert sum(b.num_rows for b in substring_dedup._verify(iter([batch]), 50, 0.8, 3)) == 0
     assert substring_dedup.pack_all(*[np.zeros(0, np.int64)] * 4) == [] and substring_dedup.unpack_all([])[1].shape == (3, 0)
+
+
+def test_fingerprint_links_memory_follows_groups():
+    r, n = np.random.default_rng(1), 60_000
+    sign = fingerprint.ALPHABET[np.repeat(r.integers(0, 64, (n // 3, 64)), 3, axis=0)]
+    sign[1::3, 60:] = fingerprint.ALPHABET[r.integers(0, 64, (n // 3, 4))]
+    sign[2::3, 8:] = fingerprint.ALPHABET[r.integers(0, 64, (n // 3, 56))]
+    begin, gram = (fingerprint.runs(sign.ravel(), np.arange(n + 1) * 64, np.full(n, 48), 7)[i] for i in (3, 1))
+    zero, block = pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, 48, np.int32))
+    columns = [pa.array(gram[begin % 64 == 0]), zero, zero, zero, pa.array(np.arange(n)), block, pa.array(np.ones(n, np.int64)), zero, pa.array([x.tobytes().decode() for x in sign])]
+    batch = pa.RecordBatch.from_arrays(columns, ["gram", "first", "second", "mine", "key", "block", "weight", "part", "text"])
+
+    def links(rows):
+        found, edges = Counter(), 0
+        for b in fingerprint._links(iter([rows]), 60, 7):
+            for k, v, other in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found[k] += v or 0
+                edges += other is not None
+        return +found, edges
+
+    tracemalloc.start()
+    got = links(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    parts = [links(batch.slice(i, 600)) for i in range(0, n, 600)]  # groups are whole in each
+    assert got == (sum((x for x, _ in parts), Counter()), sum(e for _, e in parts)) and got[1] > 500
+    assert peak < 80e6, peak

@@ -17,6 +17,7 @@ ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 LENGTH, LEAST_BLOCK, WINDOW = 64, 3, 7
 GRAM = 4
 HOT, SAMPLED, MOST_HOT = 8192, 64, 10_000
+AT_ONCE, MOST_EDGES = 1 << 13, 1 << 17
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -167,13 +168,40 @@ def runs_in_common(x: list[bytes], y: list[bytes], run: int) -> np.ndarray:
 def _links(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[pa.RecordBatch]:
     """What the pairs of each gram show: (key, links, other): documents that key matches, and edges that connect what is linked.
 
-    A pair is counted at the least gram of the runs that its two signatures have
-    in common, and not for its second signatures if its first ones match.
+    Whole groups are taken, as many as have AT_ONCE rows or one that has more,
+    so that memory doesn't follow the rows of a part.
     """
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    table = pa.Table.from_batches(parts).combine_chunks()
+    table = pa.Table.from_batches(parts)
+    gram, part_a, part_b, key = (table.column(k).to_numpy() for k in ("gram", "first", "second", "key"))
+    order = np.lexsort((key, part_b, part_a, gram))
+    g, p, q = gram[order], part_a[order], part_b[order]
+    ends = np.append(np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, len(order))
+    edges: list[np.ndarray] = []
+    at = 0
+    while at < len(order):
+        end = int(ends[max(np.searchsorted(ends, at + AT_ONCE, "right") - 1, np.searchsorted(ends, at, "right"))])
+        k, n, found = _group_links(table.take(order[at:end]).combine_chunks(), least, run)
+        at = end
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.nulls(len(k), pa.int64())], ["key", "links", "other"])
+        edges += found
+        if sum(e.shape[1] for e in edges) > MOST_EDGES:
+            x, y = forest(np.concatenate(edges, axis=1))
+            edges = []
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(y)], ["key", "links", "other"])
+    if edges:
+        x, y = forest(np.concatenate(edges, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(y)], ["key", "links", "other"])
+
+
+def _group_links(table: pa.Table, least: int, run: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys that match others, how many documents, edges between them) of the pairs in these groups.
+
+    A pair is counted at the least gram of the runs that its two signatures have
+    in common, and not for its second signatures if its first ones match.
+    """
     gram, part_a, part_b, mine, key, block, weight, part = (table.column(k).to_numpy() for k in ("gram", "first", "second", "mine", "key", "block", "weight", "part"))
     texts = [t.encode() for t in table.column("text").to_pylist()]
     sign = [t[p:] for t, p in zip(texts, part.tolist(), strict=True)]
@@ -244,7 +272,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[
             np.add.at(links, x, weight[y])
             np.add.at(links, y, weight[x])
             edges.append(np.stack([key[x], key[y]]))
-            if sum(e.shape[1] for e in edges) > 1 << 20:
+            if sum(e.shape[1] for e in edges) > MOST_EDGES:
                 edges = [forest(np.concatenate(edges, axis=1))]
         step += 1
         at = at[at + step < len(order)]
@@ -252,10 +280,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: int, run: int) -> Iterator[
     k, where = np.unique(key, return_inverse=True)
     n = np.bincount(where, links, len(k)).astype(np.int64)
     some = n > 0
-    yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(n[some]), pa.nulls(int(some.sum()), pa.int64())], ["key", "links", "other"])
-    if edges:
-        a, b = forest(np.concatenate(edges, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], ["key", "links", "other"])
+    return k[some], n[some], [forest(np.concatenate(edges, axis=1))] if edges else []
 
 
 def forest(edges: np.ndarray) -> np.ndarray:
